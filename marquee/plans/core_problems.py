@@ -19,7 +19,7 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p3_loaded(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The loaded records of both layouts, fields in order, headers and blank records left out."""
     loaded = load_rows(read_table(spark, sf_dir, "csv_rows")).where("parsed_kind = 'record'")
-    return loaded.select("row_id", "file_name", "physical_row", F.size("parsed_fields").alias("n_fields"), F.concat_ws("", "parsed_fields").alias("fields_text"))
+    return loaded.select("row_id", "file_name", "physical_row", F.size("parsed_fields").alias("n_fields"), F.to_json("parsed_fields").alias("fields_json"))
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
