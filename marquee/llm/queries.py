@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marquee.llm import survivorship, textmarks, truncation
+from marquee.llm import leakage, residue, survivorship, textmarks, truncation
 from marquee.session import read_table
 
 
@@ -45,5 +45,15 @@ def p10_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return truncation.rates(truncation.judge(read_table(spark, sf_dir, "documents").select("doc_id", "text", "source")))
 
 
-QUERIES = {"p10_found": p10_found, "p10_rates": p10_rates, "p6_found": p6_found, "p6_survivors": p6_survivors}
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(extracted_id) of every record that holds residue, filler or error text in place of event content."""
+    return residue.records(read_table(spark, sf_dir, "extracted_events"), "extracted_id", ["title", "description"]).select("extracted_id")
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, item_id) of every document that carries half of an item or more."""
+    return leakage.find_leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "eval_items")).select("doc_id", "item_id")
+
+
+QUERIES = {"p2_found": p2_found, "p8_found": p8_found, "p10_found": p10_found, "p10_rates": p10_rates, "p6_found": p6_found, "p6_survivors": p6_survivors}
 ORACLES: dict[str, str] = {}

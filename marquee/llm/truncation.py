@@ -69,7 +69,10 @@ def limits(docs: DataFrame, source: str, text: str) -> DataFrame:
         F.max(F.when(~own & near, F.col("n"))).alias("peak"), (F.sum(F.when(~own, F.col("n"))) / F.lit(2.0 * LIMIT_SPAN)).alias("usual"),
     )
     least = LIMIT_TIMES * F.greatest(F.coalesce("peak", F.lit(0)), F.coalesce("usual", F.lit(0.0)))
-    return around.where((F.col("n") >= LIMIT_LEAST) & (F.col("n") >= least) & (F.col("open") >= LIMIT_OPEN)).select("source", "unit", F.col("at").alias("length"), "n")
+    found = around.where((F.col("n") >= LIMIT_LEAST) & (F.col("n") >= least) & (F.col("open") >= LIMIT_OPEN))
+    # where texts are mostly ASCII a limit shows in both units; the one that binds holds more texts
+    binding = F.max_by(F.struct("unit", "n"), F.struct("n", (F.col("unit") == "chars").alias("first"))).alias("b")
+    return found.groupBy("source", F.col("at").alias("length")).agg(binding).select("source", "b.unit", "length", "b.n")
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
