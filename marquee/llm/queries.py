@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marquee.llm import leakage, residue, survivorship, textmarks, truncation
+from marquee.llm import leakage, names, residue, survivorship, textmarks, truncation
 from marquee.session import read_table
 
 
@@ -50,10 +50,26 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return residue.records(read_table(spark, sf_dir, "extracted_events"), "extracted_id", ["title", "description"]).select("extracted_id")
 
 
+def _name_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = read_table(spark, sf_dir, "event_records").select(F.col("organization").alias("name"))
+    sources = read_table(spark, sf_dir, "source_records").select(F.col("organization_name").alias("name"))
+    return names.classes(events.unionByName(sources), "name")
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(name_a, name_b) of every two spellings that name the same organisation or person."""
+    return names.pairs_of(_name_classes(spark, sf_dir))
+
+
+def p5_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every spelling with its uses and the spelling that its class goes by."""
+    return _name_classes(spark, sf_dir)
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, item_id) of every document that carries half of an item or more."""
     return leakage.find_leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "eval_items")).select("doc_id", "item_id")
 
 
-QUERIES = {"p2_found": p2_found, "p8_found": p8_found, "p10_found": p10_found, "p10_rates": p10_rates, "p6_found": p6_found, "p6_survivors": p6_survivors}
+QUERIES = {"p5_found": p5_found, "p5_classes": p5_classes, "p2_found": p2_found, "p8_found": p8_found, "p10_found": p10_found, "p10_rates": p10_rates, "p6_found": p6_found, "p6_survivors": p6_survivors}
 ORACLES: dict[str, str] = {}
