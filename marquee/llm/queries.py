@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marquee.llm import leakage, names, residue, survivorship, textmarks, truncation
+from marquee.llm import addresses, leakage, names, residue, survivorship, textmarks, truncation
 from marquee.session import read_table
 
 
@@ -45,6 +45,12 @@ def p10_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return truncation.rates(truncation.judge(read_table(spark, sf_dir, "documents").select("doc_id", "text", "source")))
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(hint_id_a, hint_id_b) of every two hints that stand for one building."""
+    hints = read_table(spark, sf_dir, "location_hints").select("hint_id", "address", "venue", "city")
+    return addresses.same_place(hints, "hint_id").select(F.col("id_a").alias("hint_id_a"), F.col("id_b").alias("hint_id_b"))
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(extracted_id) of every record that holds residue, filler or error text in place of event content."""
     return residue.records(read_table(spark, sf_dir, "extracted_events"), "extracted_id", ["title", "description"]).select("extracted_id")
@@ -71,5 +77,5 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.find_leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "eval_items")).select("doc_id", "item_id")
 
 
-QUERIES = {"p5_found": p5_found, "p5_classes": p5_classes, "p2_found": p2_found, "p8_found": p8_found, "p10_found": p10_found, "p10_rates": p10_rates, "p6_found": p6_found, "p6_survivors": p6_survivors}
+QUERIES = {"p1_found": p1_found, "p5_found": p5_found, "p5_classes": p5_classes, "p2_found": p2_found, "p8_found": p8_found, "p10_found": p10_found, "p10_rates": p10_rates, "p6_found": p6_found, "p6_survivors": p6_survivors}
 ORACLES: dict[str, str] = {}
