@@ -8,7 +8,8 @@
    block are formed over forms, not records.
 4. Comparison vectors have agreement levels per component, a missing value being a level of its own. Their counts (a
    few hundred patterns at most) give m and u probabilities by expectation-maximisation (Fellegi and Sunter; Winkler).
-5. Pairs whose posterior exceeds ``POSTERIOR`` are links; record pairs are links expanded by the forms' members.
+5. Pairs whose posterior exceeds ``POSTERIOR`` are links. A form that lacks the address or the place takes over the
+   links of its most probable whole form; record pairs are links expanded by the forms' members.
 
 An absent direction is a value, not a gap: "12 Main St" and "12 N Main St" are two buildings.
 
@@ -26,7 +27,7 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -119,7 +120,6 @@ def _street(tokens: list[str]) -> tuple[str | None, str | None, str | None, str
         if before and before[0] in DIRECTION_OF and len(before) > 1:
             direction = direction or DIRECTION_OF[before[0]]
             before = before[1:]
-    before = [t for i, t in enumerate(before) if not (t == "no" and i == len(before) - 1 and i)]
     name = " ".join(ORDINALS.get(t, PREFIXES.get(t, t) if t in ("mt", "ft", "st") else t) for t in before)
     return number, name or None, kind, direction
 
@@ -142,7 +142,8 @@ def parse_place(address: dict | None, venue: str | None, city: str | None) -> Pl
                 s = s[: m.start()] + " " + s[m.end() :]
                 break
         s = _UNIT.sub(" , ", s)
-        s = re.sub(r"\bno\.?\s*(\d+)\s*,?", r" \1 ", s)
+        # "No. 75, Fort Pell Boulevard" has a number sign, "Fort Pell Boulevard No. 75" lies north
+        s = re.sub(r"(^|[,;\n]\s*)no\.?\s*(\d+)\s*,?", r"\1 \2 ", s)
         s = re.sub(r"\([^)]*\)", " ", s)
         segments = []
         for seg in re.split(r"[,;\n]", s):
@@ -192,6 +193,9 @@ LEVELS = {
     "venue": ("agree", "missing", "differ"),
 }
 POSTERIOR, EM_ROUNDS = 0.5, 60
+#: A building is its number, street with kind and direction, and town: among matches these differ by gross slips only.
+#: Without this bound EM takes neighbours (one street and number in two towns) for the latent class of matches.
+DEFINING, SLIP = ("number", "street", "kind", "direction", "area"), 0.001
 
 
 def _near(a: str, b: str) -> bool:
@@ -238,7 +242,7 @@ def compare(a: tuple, b: tuple) -> str:
         kind = 1 if not ak or not bk else 0 if ak == bk else 2
     same_town = bool(at and bt) and _near(at, bt)
     if at and bt:
-        area = 0 if same_town else 2
+        area = 0 if same_town or (az and az == bz) else 2
     elif az and bz:
         area = 0 if az == bz else 2
     else:
@@ -280,6 +284,7 @@ def expectation_maximisation(counts: dict[str, int], rounds: int = EM_ROUNDS) ->
             p = np.full(size, 0.0)
             good = [i for i, lv in enumerate(LEVELS[name]) if lv in ("agree", "typo")]
             bad = [i for i, lv in enumerate(LEVELS[name]) if lv == "differ"]
+            lean = 1 - SLIP if target is m and name in DEFINING else lean
             p[good], p[bad], p[missing[k]] = (1 - gap) * lean / len(good), (1 - gap) * (1 - lean) / len(bad), gap
             target.append(p)
     w = Weights(m, u, 0.5)
@@ -292,7 +297,12 @@ def expectation_maximisation(counts: dict[str, int], rounds: int = EM_ROUNDS) ->
                 gap = target[k][missing[k]]
                 p = np.array([weight[x[:, k] == lv].sum() for lv in range(len(LEVELS[name]))]) + 0.5
                 p[missing[k]] = 0.0
-                target[k] = p / p.sum() * (1 - gap)
+                p = p / p.sum()
+                if target is w.m and name in DEFINING:
+                    bad = LEVELS[name].index("differ")
+                    p[bad] = min(p[bad], SLIP)
+                    p = p / p.sum()
+                target[k] = p * (1 - gap)
                 target[k][missing[k]] = gap
         w.share = float(min(max((n * post).sum() / n.sum(), 0.001), 0.999))
     return w
@@ -337,12 +347,13 @@ def candidates(form_rows: DataFrame) -> DataFrame:
     def keys(number: pd.Series, street: pd.Series, town: pd.Series, venue: pd.Series) -> pd.Series:
         out = []
         for n, s, t, v in zip(number, street, town, venue, strict=True):
-            k = [f"s|{n}|{sound(s)}"] if n and s else []
+            k = [f"s|{n}|{sound(s)}", f"p|{n}|{s[:4]}", f"e|{n}|{s[-4:]}"] if n and s else []
             k += [f"t|{n}|{t}"] if n and t else []
             vk = venue_key(v, t)
-            k += [f"v|{n}|{vk}"] if n and vk else []
-            k += [f"w|{vk}|{t}"] if vk and t else []
-            out.append(k)
+            k += [f"v|{n}|{vk[:6]}"] if n and vk else []
+            # a typing error leaves one end of the venue and one end of the town as they are
+            k += [f"w|{i}{j}|{x}|{y}" for i, x in enumerate((vk[:7], vk[-11:])) for j, y in enumerate((t[:5], t[-5:]))] if vk and t else []
+            out.append(list(dict.fromkeys(k)))
         return pd.Series(out)
 
     blocked = checkpointed(form_rows.select("fid", F.explode(keys("number", "street", "town", "venue")).alias("k")))
@@ -368,13 +379,38 @@ def links(form_rows: DataFrame) -> DataFrame:
     return pairs.join(scored, "pattern").where(F.col("posterior") > POSTERIOR).select("a", "b", "pattern", "posterior")
 
 
+def _weak(c: str) -> Column:
+    """A form without an address or without a place."""
+    return F.col(f"{c}.number").isNull() | F.col(f"{c}.street").isNull() | (F.col(f"{c}.town").isNull() & F.col(f"{c}.zip5").isNull())
+
+
+def inherited(form_rows: DataFrame, linked: DataFrame) -> DataFrame:
+    """(a, b) that follow from a weak form's most probable whole form: the whole form's other links hold for the weak
+    one, unless a component of theirs differs (venues may: a building can have several)."""
+    both = linked.select("a", "b", "posterior").unionByName(linked.select(F.col("b").alias("a"), F.col("a").alias("b"), "posterior"))
+    side = lambda x: form_rows.select(F.col("fid").alias(x), F.struct(*FIELDS).alias(f"f{x}"))
+    known = both.join(side("a"), "a").join(side("b"), "b")
+    anchor = known.where(_weak("fa") & ~_weak("fb")).groupBy("a").agg(F.max_by("b", F.struct("posterior", "b")).alias("anchor"), F.first("fa").alias("fa"))
+    more = both.select(F.col("a").alias("anchor"), F.col("b").alias("c")).join(anchor, "anchor").where("c != a").join(side("c"), "c")
+
+    @F.pandas_udf(T.BooleanType())
+    def agrees(fa: pd.DataFrame, fc: pd.DataFrame) -> pd.Series:
+        clean = lambda f: [tuple(v if isinstance(v, str) else None for v in r) for r in f[list(FIELDS)].itertuples(index=False)]
+        contradiction = {"number": 2, "street": 3, "kind": 2, "direction": 2, "area": 2}
+        names = list(LEVELS)
+        return pd.Series([all(int(v[names.index(k)]) != d for k, d in contradiction.items()) for v in map(compare, clean(fa), clean(fc))])
+
+    return more.where(agrees("fa", "fc")).select(F.least("a", "c").alias("a"), F.greatest("a", "c").alias("b"))
+
+
 def same_place(df: DataFrame, id_col: str, address_col: str = "address", venue_col: str = "venue", city_col: str = "city") -> DataFrame:
     """(id_a, id_b): every two records of one place, smaller id first."""
     rows = checkpointed(parsed(df, id_col, address_col, venue_col, city_col))
     form_rows, members = forms(rows)
     form_rows = checkpointed(form_rows)
     within = form_rows.select(F.col("fid").alias("a"), F.col("fid").alias("b"))
-    linked = within.unionByName(links(form_rows).select("a", "b"))
+    found = checkpointed(links(form_rows).select("a", "b", "posterior"))
+    linked = within.unionByName(found.select("a", "b")).unionByName(inherited(form_rows, found)).distinct()
     ma, mb = members.select(F.col("fid").alias("a"), F.col("rid").alias("x")), members.select(F.col("fid").alias("b"), F.col("rid").alias("y"))
     pairs = linked.join(ma, "a").join(mb, "b").where((F.col("a") != F.col("b")) | (F.col("x") < F.col("y")))
     return pairs.select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b")).where("id_a < id_b").distinct()
