@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marquee.llm import addresses, leakage, names, residue, survivorship, textmarks, truncation
+from marquee.llm import addresses, leakage, mixing, names, residue, survivorship, textmarks, truncation
 from marquee.session import read_table
 
 
@@ -35,6 +35,16 @@ def p6_survivors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("address", F.to_json(F.map_from_entries(F.array_sort(F.map_entries("address")))))
 
 
+def p9_chosen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, source, tokens, repeats) of the mix that meets mix_targets."""
+    return mixing.mix(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "mix_targets"))[0]
+
+
+def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target and reached share of every source."""
+    return mixing.mix(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "mix_targets"))[1]
+
+
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id) of every document whose text was cut."""
     return truncation.judge(read_table(spark, sf_dir, "documents").select("doc_id", "text", "source")).where("cut").select("doc_id")
@@ -77,5 +87,5 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.find_leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "eval_items")).select("doc_id", "item_id")
 
 
-QUERIES = {"p1_found": p1_found, "p5_found": p5_found, "p5_classes": p5_classes, "p2_found": p2_found, "p8_found": p8_found, "p10_found": p10_found, "p10_rates": p10_rates, "p6_found": p6_found, "p6_survivors": p6_survivors}
+QUERIES = {"p9_chosen": p9_chosen, "p9_shares": p9_shares, "p1_found": p1_found, "p5_found": p5_found, "p5_classes": p5_classes, "p2_found": p2_found, "p8_found": p8_found, "p10_found": p10_found, "p10_rates": p10_rates, "p6_found": p6_found, "p6_survivors": p6_survivors}
 ORACLES: dict[str, str] = {}
