@@ -8,19 +8,20 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: White space as ECMAScript's \\s sees it: Java's own classes miss U+00A0 and U+FEFF or add U+0085.
 SPACE = r"[\t\n\x{0B}\f\r \x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
 MAX_TITLE = 300
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfkc(s: pd.Series) -> pd.Series:
     """Compatibility composition; null stays null."""
     return s.map(lambda v: unicodedata.normalize("NFKC", v) if isinstance(v, str) else None)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfkd_base(s: pd.Series) -> pd.Series:
     """Compatibility decomposition without combining marks U+0300 to U+036F."""
     return s.map(lambda v: "".join(c for c in unicodedata.normalize("NFKD", v) if not "̀" <= c <= "ͯ") if isinstance(v, str) else None)
@@ -69,7 +70,7 @@ def framed_array(values: Column) -> Column:
 ENTITIES = {"amp": "&", "apos": "'", "gt": ">", "lt": "<", "mdash": "—", "nbsp": " ", "ndash": "–", "quot": '"'}
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _numeric_entities(s: pd.Series) -> pd.Series:
     import re
 
@@ -119,7 +120,7 @@ def meta_content(html: Column, key: str, numeric: bool = True) -> Column:
 
 def decode_ics(c: Column) -> Column:
     r"""\n, \, and \; then the escaped backslash, in this order."""
-    return F.replace(F.replace(F.replace(F.regexp_replace(c, r"(?i)\\n", "\n"), F.lit("\\,"), F.lit(",")), F.lit("\;"), F.lit(";")), F.lit("\\\\"), F.lit("\\"))
+    return F.replace(F.replace(F.replace(F.regexp_replace(c, r"(?i)\\n", "\n"), F.lit("\\,"), F.lit(",")), F.lit("\\;"), F.lit(";")), F.lit("\\\\"), F.lit("\\"))
 
 
 #: Parts of town names by region, in order of precedence.
