@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from marquee.plans import core_problems
+from marquee.plans import core_problems, feed_queries, read_queries
 
-QUERIES = {**core_problems.QUERIES}
-ORACLES: dict[str, str] = {}
+QUERIES = {**core_problems.QUERIES, **read_queries.QUERIES, **feed_queries.QUERIES}
+ORACLES: dict[str, str] = {**read_queries.ORACLES, **feed_queries.ORACLES}

@@ -69,5 +69,5 @@ attempts int,
 max_attempts int,
 idempotency_key string"""
 STATE_DOCUMENT = f"schemaVersion int,\nevents array<{struct(EVENT)}>,\nupdatedAt string"
-SOURCE_CATEGORIES = ("ddoa-funded", "non-grantee", "government", "library")
+SOURCE_CATEGORIES = ("ddoa-grantee", "non-grantee", "government", "library")
 PUBLICATION_STATUSES = ("pending", "published", "rejected", "archived")

@@ -57,7 +57,7 @@ def scan_catalog(files: DataFrame, categories: dict[str, str]) -> tuple[DataFram
     rows = file_rows(good.where("body != ''")).join(good.select("file_name", "category"), "file_name")
     broken = rows.where("code is not null").select("file_name", "physical_row", F.lit("csv").alias("path"), F.lit("invalid_csv").alias("code"))
     heads = rows.where("code is null").groupBy("file_name").agg(F.min_by("fields", "physical_row").alias("h"), F.min("physical_row").alias("head_row"))
-    heads = heads.withColumn("h", F.transform("h", F.trim))
+    heads = heads.withColumn("h", F.transform("h", lambda x: F.trim(x)))
     index = lambda names: F.coalesce(*[F.nullif(F.array_position("h", F.lit(n)), F.lit(0)) for n in names]).cast("int")
     heads = heads.select("file_name", "head_row", F.size("h").alias("width"), *[index(n).alias(f"i{k}") for k, n in enumerate(HEADERS)])
     missing = heads.select("file_name", F.lit(1).alias("physical_row"), F.explode(F.filter(F.array(*[F.when(F.col(f"i{k}").isNull(), n[-1]) for k, n in enumerate(HEADERS)]), lambda x: x.isNotNull())).alias("path"), F.lit("missing_column").alias("code"))

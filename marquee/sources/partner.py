@@ -26,7 +26,7 @@ def category_names(ids: Column, names: DataFrame | dict, unknown: str = "Categor
     """Ordered distinct names of a comma separated id list; unknown ids keep their number."""
     table = names if isinstance(names, dict) else {r[0]: r[1] for r in names.collect()}
     lookup = F.create_map(*[F.lit(x) for kv in table.items() for x in kv])
-    parts = F.filter(F.transform(F.split(ids, ","), F.trim), lambda x: x != "")
+    parts = F.filter(F.transform(F.split(ids, ","), lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")), lambda x: x != "")
     return F.array_distinct(F.transform(parts, lambda x: F.coalesce(F.try_element_at(lookup, x), F.concat(F.lit(unknown), x))))
 
 
