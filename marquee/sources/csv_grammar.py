@@ -64,6 +64,10 @@ class RecordParser:
         self._line_at = max(self._line_at, offset)
         return self.line
 
+    def line_at(self, offset: int) -> int:
+        """The physical line of an offset, without moving on."""
+        return self.line + len(_EOL.findall(self.text, self._line_at, offset))
+
     def file(self) -> Iterator[ParsedRecord]:
         """Every record of the text, broken ones included."""
         while self.at < len(self.text):
@@ -73,11 +77,13 @@ class RecordParser:
         start, fields = self.at, []
         line = self._line_of(start)
         while True:
+            begin = self.at
             value, code = self.field()
             fields.append(value)
             if code:
-                issue = SyntaxIssue(code, self.at, self._line_of(self.at), len(fields) - 1)
-                self.at = self.recover(self.at)
+                # a stray quote may have run over good records: anchors are sought from where the field began
+                issue = SyntaxIssue(code, self.at, self.line_at(self.at), len(fields) - 1)
+                self.at = self.recover(begin)
                 return ParsedRecord(fields, line, start, self.at, [issue])
             if self.text.startswith(",", self.at):
                 self.at += 1
