@@ -193,6 +193,8 @@ LEVELS = {
     "venue": ("agree", "missing", "differ"),
 }
 POSTERIOR, EM_ROUNDS = 0.5, 60
+#: The starting values count as this many pairs, so that a handful of pairs cannot bend the estimates.
+PRIOR_PAIRS = 20.0
 #: A building is its number, street with kind and direction, and town: among matches these differ by gross slips only.
 #: Without this bound EM takes neighbours (one street and number in two towns) for the latent class of matches.
 DEFINING, SLIP = ("number", "street", "kind", "direction", "area"), 0.001
@@ -288,14 +290,15 @@ def expectation_maximisation(counts: dict[str, int], rounds: int = EM_ROUNDS) ->
             p[good], p[bad], p[missing[k]] = (1 - gap) * lean / len(good), (1 - gap) * (1 - lean) / len(bad), gap
             target.append(p)
     w = Weights(m, u, 0.5)
+    start = [[p.copy() for p in m], [p.copy() for p in u]]
     if not patterns:
         return w
     for _ in range(rounds):
         post = np.array([w.posterior(p) for p in patterns])
-        for target, weight in ((w.m, n * post), (w.u, n * (1 - post))):
+        for target, weight, prior in ((w.m, n * post, start[0]), (w.u, n * (1 - post), start[1])):
             for k, name in enumerate(names):
                 gap = target[k][missing[k]]
-                p = np.array([weight[x[:, k] == lv].sum() for lv in range(len(LEVELS[name]))]) + 0.5
+                p = np.array([weight[x[:, k] == lv].sum() for lv in range(len(LEVELS[name]))]) + PRIOR_PAIRS * prior[k]
                 p[missing[k]] = 0.0
                 p = p / p.sum()
                 if target is w.m and name in DEFINING:
@@ -304,7 +307,7 @@ def expectation_maximisation(counts: dict[str, int], rounds: int = EM_ROUNDS) ->
                     p = p / p.sum()
                 target[k] = p * (1 - gap)
                 target[k][missing[k]] = gap
-        w.share = float(min(max((n * post).sum() / n.sum(), 0.001), 0.999))
+        w.share = float(min(max(((n * post).sum() + PRIOR_PAIRS / 2) / (n.sum() + PRIOR_PAIRS), 0.001), 0.999))
     return w
 
 

@@ -9,8 +9,8 @@
 4. In each shard the quota is filled in seeded order: whole passes over the shard, then a prefix of it. A window runs
    over one shard only, so a source that holds a third of all rows is worked on by as many tasks as it has shards.
 
-Defined cases: null or empty texts have no tokens and are never chosen; sources without a target, and targets without
-texts, get nothing (the shares reached say so); ties in quotients go to the smaller name; repeated rows of one id are
+Defined cases: null or empty texts have no tokens and are never chosen; sources without a target get nothing, the
+shares of targets without texts fall to the others in proportion (the shares reached say so); ties in quotients go to the smaller name; repeated rows of one id are
 one text; an empty table gives an empty mix; extra columns are ignored.
 """
 
@@ -85,10 +85,13 @@ def mix(
     texts = checkpointed(sized.groupBy("h").agg(owner.alias("o"), F.first("tokens").alias("tokens")).select("o.id", "o.source", "tokens", "h").where("tokens > 0"))
     sums = {r["source"]: r["n"] for r in texts.groupBy("source").agg(F.sum("tokens").alias("n")).collect() if r["source"] in goal}
     capacity = {s: n * goal[s][1] for s, n in sums.items()}
+    # the shares of targets without texts fall to the others in proportion
+    there = sum(goal[s][0] for s in sums) or 1.0
+    share = {s: goal[s][0] / there for s in sums}
     if total_tokens is None:
-        total_tokens = int(min((capacity[s] / goal[s][0] for s in sums if goal[s][0] > 0), default=0))
+        total_tokens = int(min((capacity[s] / share[s] for s in sums if share[s] > 0), default=0))
     size = max(1.0, total_tokens / blocks)
-    seats = sainte_lague({s: goal[s][0] for s in sums}, blocks, {s: int(capacity[s] / size + 1e-9) for s in sums})
+    seats = sainte_lague(share, blocks, {s: int(capacity[s] / size + 1e-9) for s in sums})
     n_shards = {s: max(1, -(-n // shard_tokens)) for s, n in sums.items()}
     shard_table = [(s, n_shards[s]) for s in sums]
     shards_of = F.broadcast(spark.createDataFrame(shard_table, "source string, n_shards long"))
