@@ -88,4 +88,28 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"p9_chosen": p9_chosen, "p9_shares": p9_shares, "p1_found": p1_found, "p5_found": p5_found, "p5_classes": p5_classes, "p2_found": p2_found, "p8_found": p8_found, "p10_found": p10_found, "p10_rates": p10_rates, "p6_found": p6_found, "p6_survivors": p6_survivors}
-ORACLES: dict[str, str] = {}
+
+
+def _sql(pattern: str) -> str:
+    """A pattern of textmarks inside a SQL string."""
+    return pattern.replace("'", "''")
+
+
+def _real(key: str, shape: str) -> str:
+    v = f"trim(address['{key}'])"
+    return f"(coalesce({v}, '') <> '' AND NOT regexp_matches({v}, '{_sql(textmarks.PLACEHOLDER)}') AND regexp_matches({v}, '{_sql(shape)}'))"
+
+
+_WHOLE = rf"""(d IS NOT NULL AND NOT regexp_matches(trim(d), '{_sql(textmarks.PLACEHOLDER)}') AND regexp_matches(t, '{_sql(textmarks.SENTENCE_END)}') AND NOT regexp_matches(t, '{_sql(textmarks.TEASER_END)}')
+  AND NOT regexp_matches(t, '{_sql(textmarks.SYSTEM_SENTENCE)}') AND regexp_matches(t, '\S\s+\S+\s+\S'))"""
+_ADDRESS = " AND ".join([_real("street", r"\d.*\p{L}{2}|\p{L}{2}.*\d"), _real("city", r"\p{L}{2}"), _real("state", r"^\p{L}[\p{L}.\s]+$"), _real("postalCode", r"^\d{5}(?:-?\d{4})?$")])
+
+ORACLES: dict[str, str] = {
+    "p6_found": rf"""WITH e AS (SELECT DISTINCT canonical_identity AS k, id, description AS d, trim(regexp_replace(description, '\s+', ' ', 'g')) AS t, list_max(list_transform(provenance, lambda p: p.retrieved_at)) AS seen,
+      CASE WHEN address IS NOT NULL AND {_ADDRESS} THEN 1 ELSE 0 END AS good_address FROM event_records WHERE canonical_identity IS NOT NULL),
+    w AS (SELECT *, {_WHOLE} AS whole FROM e),
+    g AS (SELECT *, whole AND NOT EXISTS (SELECT 1 FROM w o WHERE o.k = w.k AND o.whole AND length(o.d) > length(w.d) AND starts_with(o.d, w.d)) AS good FROM w),
+    n AS (SELECT k FROM g GROUP BY k HAVING count(DISTINCT id) > 1),
+    de AS (SELECT k, id, row_number() OVER (PARTITION BY k ORDER BY seen DESC, id) AS rn FROM g WHERE good), ad AS (SELECT k, id, row_number() OVER (PARTITION BY k ORDER BY seen DESC, id) AS rn FROM g WHERE good_address = 1)
+    SELECT n.k AS canonical_identity, de.id AS description_event_id, ad.id AS address_event_id FROM n LEFT JOIN de ON de.k = n.k AND de.rn = 1 LEFT JOIN ad ON ad.k = n.k AND ad.rn = 1""",
+}
