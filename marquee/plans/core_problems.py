@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marquee.operators.packed_values import learn_codes, split_packed
-from marquee.operators.row_loading import load_rows
+from marquee.operators.row_loading import CATALOG_HEADER, PARTNER_HEADER, load_rows
 from marquee.operators.timestamps import normalise
 from marquee.session import read_table
 
@@ -50,3 +50,43 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"p3_found": p3_found, "p3_loaded": p3_loaded, "p4_found": p4_found, "p7_found": p7_found}
+
+_HOST = r"(?:[a-z0-9](?:[a-z0-9-]*[a-z0-9])?\.)+[a-z0-9](?:[a-z0-9-]*[a-z0-9])?(?::\d{1,5})?(?:[/?#]\S*)?"
+_FIELD = r'"(?:[^"]|"")*"|[^",\r\n]*'
+_PARTNER_HEADER = ", ".join(f"'{n}'" for n in PARTNER_HEADER)
+_CATALOG_HEADER = ", ".join(f"'{n}'" for n in CATALOG_HEADER)
+
+
+def _full(i: int, pattern: str, blank: bool) -> str:
+    return f"({f'f[{i}] = {chr(39)*2} OR ' if blank else ''}regexp_full_match(f[{i}], '{pattern}'))"
+
+
+def _us(i: int, blank: bool) -> str:
+    return f"({f'f[{i}] = {chr(39)*2} OR ' if blank else ''}(regexp_full_match(f[{i}], '\\d{{2}}/\\d{{2}}/\\d{{4}}') AND try_strptime(f[{i}], '%m/%d/%Y') IS NOT NULL))"
+
+
+def _urls(i: int) -> str:
+    pieces = f"list_filter(list_transform(string_split(f[{i}], ';'), lambda p: regexp_replace(p, '^\\s+|\\s+$', '', 'g')), lambda p: p <> '')"
+    return f"(len({pieces}) > 0 AND len(list_filter({pieces}, lambda p: NOT regexp_full_match(p, '(?i)(?:https?://)?{_HOST}'))) = 0)"
+
+
+_CLOCK = r"(?i)(?:1[0-2]|0?[1-9]):[0-5][0-9]\s*[ap]\.?m\.?"
+_PARTNER_OK = " AND ".join(
+    [
+        "(regexp_full_match(f[1], '[0-9]+') OR (f[1] = '' AND f[3] = ''))", _full(2, "[0-9]+", True), _full(5, f"(?i)https?://{_HOST}", True), _full(7, r"[0-9]+(?:\.[0-9]+)?", True), _full(8, r"[0-9]+(?:\.[0-9]+)?", True),
+        _us(9, False), _full(10, _CLOCK, True), _us(11, True), _full(12, f"(?i)https?://{_HOST}", True),
+    ]
+)
+_CATALOG_OK = f"f[1] <> '' AND {_urls(2)} AND (f[3] IN ('', 'NKS') OR {_urls(3)}) AND (f[4] IN ('', 'NKS') OR {_urls(4)})"
+
+ORACLES = {
+    "p3_found": rf"""WITH t AS (SELECT row_id, file_name, regexp_replace(regexp_replace(raw_text, '^\x{{FEFF}}', ''), '\r?\n?$', '') AS t FROM csv_rows),
+    w AS (SELECT *, regexp_full_match(t, '(?s)(?:{_FIELD})(?:,(?:{_FIELD}))*') AS well, list_transform(regexp_extract_all(',' || t, '(?s),({_FIELD})', 1),
+      lambda x: regexp_replace(CASE WHEN starts_with(x, '"') THEN replace(x[2:len(x) - 1], '""', '"') ELSE x END, '^\s+|\s+$', '', 'g')) AS f FROM t),
+    j AS (SELECT row_id, CASE WHEN NOT well THEN 'broken_quoting' WHEN len(list_filter(f, lambda x: x <> '')) = 0 THEN NULL
+      WHEN len(f) <> CASE WHEN starts_with(file_name, 'partner_') THEN 13 ELSE 4 END THEN 'column_count'
+      WHEN f = [{_PARTNER_HEADER}] OR f = [{_CATALOG_HEADER}] THEN NULL
+      WHEN starts_with(file_name, 'partner_') THEN CASE WHEN {_PARTNER_OK} THEN NULL ELSE 'invalid_value' END
+      ELSE CASE WHEN {_CATALOG_OK} THEN NULL ELSE 'invalid_value' END END AS reason FROM w)
+    SELECT row_id, reason FROM j WHERE reason IS NOT NULL""",
+}

@@ -5,4 +5,4 @@ from __future__ import annotations
 from marquee.plans import core_problems, feed_queries, read_queries
 
 QUERIES = {**core_problems.QUERIES, **read_queries.QUERIES, **feed_queries.QUERIES}
-ORACLES: dict[str, str] = {**read_queries.ORACLES, **feed_queries.ORACLES}
+ORACLES: dict[str, str] = {**core_problems.ORACLES, **read_queries.ORACLES, **feed_queries.ORACLES}
