@@ -205,7 +205,7 @@ def _near(a: str, b: str) -> bool:
     return a == b or (n >= 4 and edits(a, b) <= (1 if n < 6 else 2))
 
 
-_VENUE_WORDS = {"lib": "library", "ctr": "center", "consv": "conservatory", "aud": "auditorium", "pk": "park", "hl": "hall", "hse": "house", "comm": "community", "amphitheatre": "amphitheater", "pavillion": "pavilion", "theatre": "theater"}
+_VENUE_WORDS = {"gal": "gallery", "pav": "pavilion", "cin": "cinema", "amph": "amphitheater", "chap": "chapel", "arm": "armory", "plhse": "playhouse", "lib": "library", "ctr": "center", "consv": "conservatory", "aud": "auditorium", "pk": "park", "hl": "hall", "hse": "house", "comm": "community", "amphitheatre": "amphitheater", "pavillion": "pavilion", "theatre": "theater"}
 
 
 @lru_cache(maxsize=100_000)
@@ -221,6 +221,16 @@ def venue_key(venue: str | None, town: str | None) -> str | None:
     return "".join(words).replace("schoolhouse", "schoolhse")
 
 
+@lru_cache(maxsize=100_000)
+def venue_name(venue: str, town: str | None) -> str:
+    """A venue's own name; one without is named by its kind."""
+    words = [_VENUE_WORDS.get(w, w) for w in venue.split()]
+    if "of" in words[1:]:
+        words = words[: len(words) - 1 - words[::-1].index("of")]
+    own = [w for w in words if w not in VENUE_NOUNS and w not in ("arts", "black", "community", "opera", "town", "civic", "old", "riverside", "grange", "masonic")]
+    return own[0] if own else venue_key(venue, town) or ""
+
+
 @lru_cache(maxsize=100_000)
 def sound(word: str | None) -> str | None:
     """Street sound: the first letter and the sorted set of consonant classes, so that swaps, doublings and most
@@ -354,8 +364,12 @@ def candidates(form_rows: DataFrame) -> DataFrame:
             k += [f"t|{n}|{t}"] if n and t else []
             vk = venue_key(v, t)
             k += [f"v|{n}|{vk[:6]}"] if n and vk else []
-            # a typing error leaves one end of the venue and one end of the town as they are
-            k += [f"w|{i}{j}|{x}|{y}" for i, x in enumerate((vk[:7], vk[-11:])) for j, y in enumerate((t[:5], t[-5:]))] if vk and t else []
+            # a typing error leaves one end of the venue's own name and one end of the town's as they are; what all
+            # venues of a kind or all ports share is no part of a key
+            if vk and t:
+                name = venue_name(v, t)
+                core = max(t.split(), key=len)
+                k += [f"w|{i}{j}|{x}|{y}" for i, x in enumerate((name[:4], name[-4:])) for j, y in enumerate((core[:5], core[-5:]))]
             out.append(list(dict.fromkeys(k)))
         return pd.Series(out)
 
