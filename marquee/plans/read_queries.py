@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,15 +39,26 @@ def query(oracle: str | None = None):
 PAGE = eq.ListQuery(OPENED_AT, None, categories=("Gardens", "Strings", "Exhibits"), regions=("Mid County", "Inland Bays"), page=2, page_size=50)
 
 
-@query(
-    f"""WITH {EV}, {OCC} SELECT id, occ_id AS occurrence_id, day, clock, title, city FROM occ
+_PAGE_SQL = f"""WITH {EV}, {OCC} SELECT id, occ_id AS occurrence_id, day, clock, title, city FROM occ
     WHERE publication_status = 'published' AND region IN ('Mid County', 'Inland Bays') AND list_has_any(categories, ['Gardens', 'Strings', 'Exhibits']) AND {UPCOMING}
-    ORDER BY day, CASE WHEN kind = 'date' THEN 0 ELSE 1 END, clock, id, occ_id LIMIT 50 OFFSET 50"""
-)
-def list_upcoming_page(spark: SparkSession, d: str) -> DataFrame:
-    """The flagship: one page of upcoming published occurrences under facet filters."""
+    ORDER BY day, CASE WHEN kind = 'date' THEN 0 ELSE 1 END, clock, id, occ_id LIMIT 50"""
+
+
+def _page(spark: SparkSession, d: str, q: eq.ListQuery) -> DataFrame:
     o = F.col("occurrence")
-    return eq.list_events(views.events(spark, d), PAGE).select("id", o["id"].alias("occurrence_id"), temporal.occurrence_day(o).alias("day"), F.coalesce(o["local_time"], F.lit("")).alias("clock"), "title", "city")
+    return eq.list_events(views.events(spark, d), q).select("id", o["id"].alias("occurrence_id"), temporal.occurrence_day(o).alias("day"), F.coalesce(o["local_time"], F.lit("")).alias("clock"), "title", "city")
+
+
+@query(f"{_PAGE_SQL} OFFSET 50")
+def list_upcoming_page(spark: SparkSession, d: str) -> DataFrame:
+    """The second page of upcoming published occurrences under facet filters."""
+    return _page(spark, d, PAGE)
+
+
+@query(_PAGE_SQL)
+def list_first_page(spark: SparkSession, d: str) -> DataFrame:
+    """The flagship: the first page."""
+    return _page(spark, d, replace(PAGE, page=1))
 
 
 @query(
