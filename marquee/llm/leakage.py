@@ -6,11 +6,13 @@
 2. Multi-index Hamming: the 64 bits are cut into RADIUS + 1 blocks; two fingerprints within RADIUS bits agree on one
    block at least (pigeonhole), so looking up every block finds all pairs within RADIUS.
 3. Candidates are verified exactly: containment of the item's SHINGLE-word shingles in the document, each weighted by
-   ln(N / (1 + number of documents that hold it)), so shared turns of phrase count little.
+   ln((1 + N) / (1 + number of texts that hold it)) over the N distinct texts, so shared turns of phrase count little.
+   A hot leak makes its own shingles common, so a pair is kept too if the shingles held cover COVERAGE of the item's
+   running words, whatever they weigh. Where no shingle of an item weighs anything all weigh alike.
 
 The items are a stated query set. They are taken in blocks of at most BLOCK items, each small enough to travel with the
 tasks (its size is checked); the documents are read in one narrow pass per block, and nothing of them is shuffled but
-the matches. Text is compared without case, markup, punctuation, hyphens and character references.
+the matches and a hash of each text. Text is compared without case, markup, punctuation, hyphens and character references.
 
 Defined cases: null or blank texts match nothing; texts shorter than the window are one window; repeated documents give
 their pairs under each id; repeated rows of one id give one pair; no items give an empty table; extra columns are
@@ -33,7 +35,7 @@ from pyspark.sql import types as T
 
 from marquee.session import checkpointed
 
-RADIUS, STRIDE, SHINGLE, CONTAINMENT = 6, 4, 5, 0.4
+RADIUS, STRIDE, SHINGLE, CONTAINMENT, COVERAGE = 6, 4, 5, 0.4, 0.5
 MIN_WINDOW, MAX_WINDOW, BLOCK = 8, 32, 2000
 _TAG = re.compile(r"<[^<>]{1,200}>")
 _JOIN = re.compile(r"(?<=\w)[-'’‐‑](?=\w)")
@@ -136,21 +138,28 @@ class ItemIndex:
         streams = [np.array([hashes[w] for w in words(t or "")], dtype=np.uint64) for _, t in items]
         lengths = [len(s) for s in streams if len(s)]
         self.size = size or max(MIN_WINDOW, min(MAX_WINDOW, min(lengths, default=MIN_WINDOW) // 2))
-        prints, owner, shs, sh_owner = [], [], [], []
+        prints, owner = [], []
         for k, h in enumerate(streams):
             if not len(h):
                 continue
             at = np.arange(max(1, len(h) - self.size + 1))
             prints.append(fingerprints(h, at, min(self.size, len(h))))
             owner.append(np.full(len(at), k))
-            s = np.unique(shingles(h, min(SHINGLE, len(h))))
-            shs.append(s)
-            sh_owner.append(np.full(len(s), k))
         cat = lambda x, t: np.concatenate(x) if x else np.empty(0, t)
         self.index, self.owner = HammingIndex(cat(prints, np.uint64)), cat(owner, int)
+        shs = [shingles(h, min(SHINGLE, len(h))) if len(h) else h for h in streams]
         self.shingles = np.unique(cat(shs, np.uint64))
-        place = np.searchsorted(self.shingles, cat(shs, np.uint64))
-        self.pairs = list(zip(place.tolist(), cat(sh_owner, int).tolist(), strict=True))
+        self.lengths = [len(h) for h in streams]
+        #: Per item the places of its shingles in the order of its words.
+        self.places = [np.searchsorted(self.shingles, x) for x in shs]
+
+    def coverage(self, k: int, held: np.ndarray) -> float:
+        """The share of item k's words that lie in a shingle of held."""
+        covered = np.zeros(self.lengths[k], bool)
+        at = np.flatnonzero(np.isin(self.places[k], held))
+        for i in range(min(SHINGLE, self.lengths[k])):
+            covered[at + i] = True
+        return float(covered.mean())
 
 
 def _scan(index: ItemIndex, texts: list[str], hashes: WordHashes) -> list[tuple[list[int], list[int]]]:
@@ -196,7 +205,7 @@ def _scan(index: ItemIndex, texts: list[str], hashes: WordHashes) -> list[tuple[
 
 
 def find_leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", doc_text: str = "text", item_id: str = "item_id", item_text: str = "text", containment: float = CONTAINMENT) -> DataFrame:
-    """(doc_id, item_id, containment) of every document that carries an item."""
+    """(doc_id, item_id, containment, coverage) of every document that carries an item, by weight or by running words."""
     n_blocks = max(1, math.ceil(items.count() / BLOCK))
     part = F.pmod(F.xxhash64(F.col(item_id)), F.lit(n_blocks))
     found = None
@@ -211,30 +220,41 @@ def _leaks_of_block(docs: DataFrame, items: list[tuple[int, str]], doc_id: str,
     spark = docs.sparkSession
     index = ItemIndex(items)
     sent = spark.sparkContext.broadcast(index)
-    schema = T.StructType([T.StructField("doc", docs.schema[doc_id].dataType), T.StructField("items", T.ArrayType(T.IntegerType())), T.StructField("held", T.ArrayType(T.IntegerType()))])
+    doc_type = docs.schema[doc_id].dataType
+    schema = T.StructType([T.StructField("doc", doc_type), T.StructField("h", T.LongType()), T.StructField("items", T.ArrayType(T.IntegerType())), T.StructField("held", T.ArrayType(T.IntegerType()))])
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes, mine = WordHashes(), sent.value
         for pdf in batches:
             for a in range(0, len(pdf), 500):
-                ids = pdf["d"].iloc[a : a + 500].tolist()
-                texts = [t if isinstance(t, str) else "" for t in pdf["t"].iloc[a : a + 500]]
-                rows = [(d, c, s) for d, (c, s) in zip(ids, _scan(mine, texts, hashes), strict=True) if s]
-                yield pd.DataFrame(rows, columns=["doc", "items", "held"])
+                part = pdf.iloc[a : a + 500]
+                texts = [t if isinstance(t, str) else "" for t in part["t"]]
+                rows = [(d, h, c, s) for d, h, (c, s) in zip(part["d"].tolist(), part["h"].tolist(), _scan(mine, texts, hashes), strict=True) if s]
+                yield pd.DataFrame(rows, columns=["doc", "h", "items", "held"])
 
-    slim = docs.select(F.col(doc_id).alias("d"), F.col(doc_text).alias("t"))
+    slim = docs.select(F.col(doc_id).alias("d"), F.col(doc_text).alias("t"), F.xxhash64(doc_text).alias("h"))
     seen = checkpointed(slim.mapInPandas(scan, schema))
-    n_docs = docs.count()
-    df_of = {r["s"]: r["n"] for r in seen.select("doc", F.explode("held").alias("s")).distinct().groupBy("s").agg(F.count("*").alias("n")).collect()}
-    weight = lambda s: max(0.0, math.log(max(n_docs, 1) / (1 + df_of.get(s, 0))))
-    total: dict[int, float] = {}
-    for s, k in index.pairs:
-        total[k] = total.get(k, 0.0) + weight(s)
-    # one row per (shingle, item): at most BLOCK items' shingles, like the index
-    rows = [(s, k, float(weight(s) / total[k]) if total[k] else 0.0) for s, k in index.pairs]
-    shares = F.broadcast(spark.createDataFrame(rows, "s int, k int, share double"))
+    n_texts = slim.select("h").distinct().count()
+    df_of = {r["s"]: r["n"] for r in seen.select("h", F.explode("held").alias("s")).distinct().groupBy("s").agg(F.count("*").alias("n")).collect()}
+    weight = np.array([math.log((1 + n_texts) / (1 + df_of.get(s, 0))) for s in range(len(index.shingles))])
+    sent_weight = spark.sparkContext.broadcast(weight)
+    pair_schema = T.StructType([T.StructField("doc", doc_type), T.StructField("k", T.IntegerType()), T.StructField("containment", T.DoubleType()), T.StructField("coverage", T.DoubleType())])
+
+    def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        mine, by_weight = sent.value, sent_weight.value
+        own = [np.unique(p) for p in mine.places]
+        for pdf in batches:
+            rows = []
+            for d, ks, held in zip(pdf["doc"].tolist(), pdf["items"], pdf["held"], strict=True):
+                for k in ks:
+                    w, has = by_weight[own[k]], np.isin(own[k], held)
+                    share = float(w[has].sum() / w.sum()) if w.sum() > 0 else float(has.mean())
+                    covered = mine.coverage(k, held)
+                    if share >= containment or covered >= COVERAGE:
+                        rows.append((d, k, share, covered))
+            yield pd.DataFrame(rows, columns=["doc", "k", "containment", "coverage"])
+
     names = F.broadcast(spark.createDataFrame([(k, int(i) if isinstance(i, (int, np.integer)) else i) for k, (i, _) in enumerate(items)], T.StructType([T.StructField("k", T.IntegerType()), T.StructField(item_id, item_type)])))
-    wanted = seen.where(F.size("items") > 0).select("doc", "items", F.explode("held").alias("s"))
-    scored = wanted.join(shares, "s").where(F.array_contains("items", F.col("k"))).select("doc", "k", "s", "share").distinct()
-    kept = scored.groupBy("doc", "k").agg(F.sum("share").alias("containment")).where(F.col("containment") >= containment)
-    return kept.join(names, "k").select(F.col("doc").alias(doc_id), item_id, F.round("containment", 6).alias("containment"))
+    verified = seen.where(F.size("items") > 0).mapInPandas(verify, pair_schema)
+    kept = verified.groupBy("doc", "k").agg(F.max("containment").alias("containment"), F.max("coverage").alias("coverage"))
+    return kept.join(names, "k").select(F.col("doc").alias(doc_id), item_id, F.round("containment", 6).alias("containment"), F.round("coverage", 6).alias("coverage"))

@@ -91,6 +91,24 @@ def test_leaks(spark):
     assert leakage.find_leaks(d.limit(0), it).count() == 0 and leakage.find_leaks(d, it.limit(0)).count() == 0
 
 
+def test_a_hot_leak_keeps_its_pairs(spark):
+    rng = random.Random(6)
+    vocab = [f"word{i}" for i in range(400)]
+    filler = lambda n: " ".join(rng.choices(vocab, k=n))
+    items = [(i, filler(60)) for i in range(5)]
+    half = " ".join(items[0][1].split()[:36])
+    # a third of the rows carry the first half of item 0: some are copies of one text, some differ; its rest stays rare
+    docs = [(i, filler(80)) for i in range(200)] + [(1000 + i, f"{filler(10)} {half} {filler(12)}") for i in range(60)]
+    docs += [(1100 + i, docs[-1][1]) for i in range(40)]
+    it = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in leakage.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), it).collect()}
+    assert got == {(d, 0) for d, _ in docs if d >= 1000}
+    for n in (1, 2):
+        few = [(i, f"{filler(8)} {items[i][1]} {filler(8)}") for i in range(n)]
+        got = {(r.doc_id, r.item_id) for r in leakage.find_leaks(spark.createDataFrame(few, "doc_id long, text string"), it).collect()}
+        assert got == {(i, i) for i in range(n)}
+
+
 # ---- truncation -------------------------------------------------------------------------------------------------
 
 
