@@ -1,13 +1,15 @@
 """Text cut off by field limits or in transfer.
 
-Three kinds of evidence, all gathered over the whole corpus:
+Three kinds of evidence, all gathered over the distinct texts of the whole corpus (lengths: of each source), so copies
+of one text are no evidence about each other:
 
 * a vocabulary trie: words seen inside texts (never at their ends); a final token that is no known word but a proper
   prefix of one was cut inside a word. The trie is kept as its node set (every proper prefix of every known word), so
   looking up all final tokens is one semi join and no task or driver holds the vocabulary;
 * sentence openings: how often segments that open with the same words are closed by a sentence end. An open last
   segment whose opening is usually closed was cut inside a sentence; openings that mostly stay open are contact lines,
-  lists, tags and the like, and are whole;
+  lists, tags and the like, and are whole. Among them the trie is overruled only where the very same segment ends
+  several distinct texts (a stock line whose last word stands nowhere else);
 * length: lengths (characters or bytes) that a source reaches far more often than the lengths around them are its
   field limits; a text of exactly such a length was cut whatever its end.
 
@@ -25,7 +27,8 @@ END = r"(?:[.!?。][\"”’'»)\]]*)$"
 #: A limit's length holds at least LIMIT_LEAST texts, LIMIT_TIMES as many as any length within LIMIT_NEAR and as the
 #: lengths within LIMIT_SPAN on average, and at least the share LIMIT_OPEN of them has no sentence end.
 LIMIT_LEAST, LIMIT_TIMES, LIMIT_SPAN, LIMIT_NEAR, LIMIT_OPEN = 5, 4.0, 25, 3, 0.5
-#: An opening is stock (a tag, a contact line) if it stays open at least STOCK_LEAST times and mostly.
+#: An opening is stock (a tag, a contact line) if it stays open at least STOCK_LEAST times and mostly; a stock line ends
+#: STOCK_LEAST distinct texts.
 STOCK_LEAST, CLOSED_SHARE = 3, 0.5
 
 
@@ -58,7 +61,8 @@ def limits(docs: DataFrame, source: str, text: str) -> DataFrame:
     t = F.rtrim(F.col(text))
     ends_open = (~t.rlike(END) | t.rlike(r"(?:\.\.+|…)$")).cast("int")
     units = F.array(F.struct(F.lit("chars").alias("unit"), F.length(text).alias("length")), F.struct(F.lit("bytes").alias("unit"), F.octet_length(text).alias("length")))
-    lengths = docs.select(F.col(source).alias("source"), ends_open.alias("o"), F.inline(units))
+    texts = docs.select(F.col(source).alias("source"), F.xxhash64(text).alias("h"), ends_open.alias("o"), units.alias("u")).distinct()
+    lengths = texts.select("source", "o", F.inline("u"))
     counts = lengths.groupBy("source", "unit", "length").agg(F.count("*").alias("n"), F.avg("o").alias("open"))
     at = F.sequence(F.col("length") - LIMIT_SPAN, F.col("length") + LIMIT_SPAN)
     spread = counts.select("source", "unit", F.explode(at).alias("at"), "length", "n", "open")
@@ -79,11 +83,11 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     """docs with cut (boolean) and cut_reason: inside_word, inside_sentence, at_limit or null."""
     text = F.rtrim(F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), r"\r\n?", "\n"))
     base = docs.withColumn("__t", text)
-    # openings over all segments of all texts
-    seg = base.where("__t != ''").select(F.explode(_segments(F.col("__t"))).alias("s"))
+    # openings over all segments of all distinct texts; a text's hash and place stand for the segment
+    seg = base.where("__t != ''").select(F.xxhash64("__t").alias("h"), F.posexplode(_segments(F.col("__t"))).alias("at", "s"))
     w1, w2 = _opening(F.col("s"))
     closed = F.col("s").rlike(END)
-    openings = seg.select(w1.alias("w1"), w2.alias("w2"), closed.cast("int").alias("c")).groupBy("w1", "w2").agg(F.sum("c").alias("closed"), (F.count("*") - F.sum("c")).alias("open"))
+    openings = seg.select("h", "at", w1.alias("w1"), w2.alias("w2"), closed.cast("int").alias("c")).distinct().groupBy("w1", "w2").agg(F.sum("c").alias("closed"), (F.count("*") - F.sum("c")).alias("open"))
     firsts = openings.groupBy("w1").agg(F.sum("closed").alias("closed1"), F.sum("open").alias("open1"))
     # the last segment of each text
     last = F.element_at(F.filter(_segments(F.col("__t")), lambda s: F.lit(True)), -1)
@@ -96,6 +100,8 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
         .withColumn("__w1", l1)
         .withColumn("__w2", l2)
         .withColumn("__own", own_line)
+        .withColumn("__h", F.xxhash64("__t"))
+        .withColumn("__sh", F.xxhash64(F.regexp_replace(F.lower("__s"), r"\d+", "9")))
         .withColumn("__w", F.when(F.col("__open"), F.regexp_extract(F.lower(F.col("__t")), rf"({WORD})(?:\.\.+|…)?$", 1)))
         .withColumn("__chars", F.length(text_col))
         .withColumn("__bytes", F.octet_length(text_col))
@@ -105,13 +111,15 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     tokens = marks.where("__open and __w != ''").select(F.col("__w").alias("w")).distinct()
     broken = cut_words(tokens, known_words(base, "__t")).select(F.col("w").alias("__bw"))
     opened, whole = marks.where("__open"), marks.where("not coalesce(__open, false)")
-    # only open texts meet the opening and trie tables
+    lines = opened.select("__h", "__sh").distinct().groupBy(F.col("__sh").alias("__line")).agg(F.count("*").alias("__line_n")).where(F.col("__line_n") >= STOCK_LEAST)
+    # only open texts meet the opening, line and trie tables
     opened = (
         opened.join(openings.select(F.col("w1").alias("__w1"), F.col("w2").alias("__w2"), "closed", "open"), ["__w1", "__w2"], "left")
         .join(firsts.select(F.col("w1").alias("__w1"), "closed1", "open1"), "__w1", "left")
+        .join(lines, F.col("__sh") == F.col("__line"), "left")
         .join(broken, F.col("__w") == F.col("__bw"), "left")
     )
-    whole = whole.withColumns({c: F.lit(None).cast("long") for c in ("closed", "open", "closed1", "open1")}).withColumn("__bw", F.lit(None).cast("string"))
+    whole = whole.withColumns({c: F.lit(None).cast("long") for c in ("__line", "__line_n", "closed", "open", "closed1", "open1")}).withColumn("__bw", F.lit(None).cast("string"))
     lim = limits(base.where("__t != ''"), source_col, text_col)
     both = opened.unionByName(whole)
     for unit in ("chars", "bytes"):
@@ -126,7 +134,7 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     reason = (
         F.when(at_limit, "at_limit")
         .when(plain_open & F.col("__code"), "inside_word")
-        .when(F.col("__open") & F.col("__bw").isNotNull() & ~F.coalesce(stock, F.lit(False)), "inside_word")
+        .when(F.col("__open") & F.col("__bw").isNotNull() & ~(F.coalesce(stock, F.lit(False)) & F.col("__line").isNotNull()), "inside_word")
         .when(plain_open & ~F.col("__own") & ~F.coalesce(stock, F.lit(False)), "inside_sentence")
         .when(plain_open & F.coalesce(usually_closed, F.lit(False)), "inside_sentence")
     )

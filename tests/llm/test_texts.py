@@ -126,6 +126,20 @@ def test_truncation(spark):
     assert truncation.judge(df.limit(0)).count() == 0
 
 
+def test_truncation_of_copies(spark):
+    rng = random.Random(7)
+    sentences = ["The choir learned to translate harbor songs near the bandstand.", "Tickets cost nine dollars at the door.", "Bring a lantern if you are ready to sing.", "Volunteers share lavender lemonade after the matinee."]
+    rows = [(i, " ".join(rng.choices(sentences, k=4)), "a") for i in range(200)] + [(300 + i, rows_text + "\nBox office: 302-555-0123", "a") for i, rows_text in enumerate(" ".join(rng.choices(sentences, k=3)) for _ in range(20))]
+    # copies of a text cut inside a word or a sentence, different texts cut in one rare opening, a hot copy group with a common opening
+    cut = [(1000 + i, rows[0][1] + " Zebulon presents lavender lemo", "b") for i in range(4)] + [(1100 + i, rows[1][1] + " Yolanda offers lavender", "b") for i in range(4)]
+    cut += [(1200 + i, f"{rows[2 + i][1]} Xavier juggles {end}", "c") for i, end in enumerate(["near the bandst", "near the ba", "with lave", "with harbor lemo"])] + [(1300, rows[9][1] + " Bring a lantern if", "d")]
+    hot = [(2000 + i, rows[8][1] + "\nBring a lantern", f"h{i}") for i in range(600)]
+    stock = [(4000 + i, rows[20 + i][1] + "\nFree for a harb", "f") for i in range(5)]
+    whole = [(3000 + i, rows[3][1] + "\nBox office: 302-555-0177", "e") for i in range(6)]
+    got = {r.doc_id: r.cut_reason for r in truncation.judge(spark.createDataFrame(rows + cut + hot + stock + whole, "doc_id long, text string, source string")).where("cut").collect() if not 2000 <= r.doc_id < 3000}
+    assert got == {**{d: "inside_word" for d, _, _ in cut if d < 1100 or 1200 <= d < 1300}, **{d: "inside_sentence" for d, _, _ in cut if 1100 <= d < 1200 or d == 1300}}
+
+
 # ---- mixing -----------------------------------------------------------------------------------------------------
 
 
