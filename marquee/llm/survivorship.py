@@ -16,10 +16,15 @@ rows of one id count once towards ``n_ids``; a field that no member has good is
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+import hashlib
+from collections.abc import Iterator, Mapping
 
-from pyspark.sql import Column, DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from marquee.session import checkpointed
 
 EARLIEST = "0001-01-01 00:00:00"
 
@@ -101,13 +106,34 @@ def survivors(cells_df: DataFrame, key: str, fields: list[str]) -> DataFrame:
     return out.select(*cols)
 
 
-def mark_prefix_cuts(df: DataFrame, key: str, text: str, good: str, head: int = 40) -> DataFrame:
+def mark_prefix_cuts(df: DataFrame, key: str, text: str, good: str) -> DataFrame:
     """df with ``good`` cleared where text is a proper prefix of another good text of the same group: a cut that fell
-    on a sentence's end. Both sides are pre-aggregated per (key, first characters); the join is on both."""
-    h = F.md5(F.left(F.col(text), F.lit(head)))
-    marked = df.withColumn("__h", F.when(F.col(good), h))
-    longest = marked.where(good).groupBy(F.col(key).alias("__k"), F.col("__h").alias("__hh")).agg(F.max_by(text, F.length(text)).alias("__longest"), F.min(F.length(text)).alias("__least"))
-    longest = longest.where(F.length("__longest") > F.col("__least")).drop("__least")
-    joined = marked.join(longest, (F.col(key) == F.col("__k")) & (F.col("__h") == F.col("__hh")), "left")
-    cut = (F.length(text) < F.length("__longest")) & F.startswith(F.col("__longest"), F.col(text))
-    return joined.withColumn(good, F.col(good) & ~F.coalesce(cut, F.lit(False))).drop("__h", "__hh", "__k", "__longest")
+    on a sentence's end. In the order of (key, text) the extensions of a text follow it without a gap, so a text is a
+    cut exactly if the next distinct text of its group starts with it. The distinct pairs are range partitioned by
+    (key, text), whatever a group's size; a partition's last pair meets the first pair of the next one."""
+    pairs = df.where(F.col(good) & F.col(key).isNotNull()).select(F.col(key).alias("k"), F.col(text).alias("t")).distinct()
+    ranged = pairs.repartitionByRange("k", "t").sortWithinPartitions("k", "t").withColumn("p", F.spark_partition_id())
+    schema = T.StructType([T.StructField("kind", T.StringType()), T.StructField("p", T.IntegerType()), T.StructField("k", df.schema[key].dataType), T.StructField("t", T.StringType()), T.StructField("m", T.StringType())])
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """The cuts inside a partition as digests, and its first and last pair."""
+        before = None
+        for pdf in batches:
+            rows = []
+            for p, k, t in zip(pdf["p"].tolist(), pdf["k"].tolist(), pdf["t"].tolist(), strict=True):
+                if before is None:
+                    rows.append(("first", p, k, t, None))
+                elif before[1] == k and t.startswith(before[2]):
+                    rows.append(("cut", p, k, None, hashlib.md5(before[2].encode()).hexdigest()))
+                before = (p, k, t)
+            yield pd.DataFrame(rows, columns=["kind", "p", "k", "t", "m"])
+        if before:
+            yield pd.DataFrame([("last", *before, None)], columns=["kind", "p", "k", "t", "m"])
+
+    walked = checkpointed(ranged.mapInPandas(walk, schema))
+    in_order = Window.orderBy("p", "kind")  # two rows per partition
+    seam = walked.where("kind != 'cut'").withColumns({"nk": F.lead("k").over(in_order), "nt": F.lead("t").over(in_order)})
+    seam = seam.where((F.col("kind") == "last") & (F.col("k") == F.col("nk")) & F.startswith("nt", "t")).select("k", F.md5("t").alias("m"))
+    cuts = walked.where("kind = 'cut'").select("k", "m").unionByName(seam).select(F.col("k").alias("__k"), F.col("m").alias("__m"))
+    joined = df.withColumn("__h", F.when(F.col(good), F.md5(text))).join(cuts, (F.col(key) == F.col("__k")) & (F.col("__h") == F.col("__m")), "left")
+    return joined.withColumn(good, F.col(good) & F.col("__m").isNull()).drop("__h", "__k", "__m")

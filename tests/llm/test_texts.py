@@ -57,6 +57,24 @@ def test_survivors_against_brute_force(spark):
             assert got[k][f"{f}_layer"] == layer or (layer is not None and got[k][f"{f}_layer"] <= layer)
 
 
+@pytest.mark.parametrize("coalesce", ["true", "false"])
+def test_prefix_cuts_of_any_length_and_group(spark, coalesce):
+    # without coalescing the small group lies in several range partitions, which must meet at their seams
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", coalesce)
+    rng = random.Random(8)
+    head = "Join us at the harbor for songs and stories of the sea."
+    rows = [("short", "Rain moves it."), ("short", "Rain moves it. Bring a chair and a story to trade."), ("two", f"{head} B."), ("two", f"{head} B. Then we sing."), ("two", f"{head} A far longer text than either of those. It hides nothing.")]
+    rows += [("other", "Rain moves it."), ("other", "Rain moves him. So bring a chair."), (None, "Rain moves it."), ("null", None)]
+    rows += [("hot", f"{head} Part {i}." + " Éa." * n) for i in range(60) for n in range(rng.randrange(1, 5))]
+    rows = [(i, k, t, t is not None) for i, (k, t) in enumerate(rows + rows)] + [(9000, "bad", "Rain.", True), (9001, "bad", "Rain. Not", False)]
+    df = spark.createDataFrame(rows, "id long, k string, d string, whole boolean")
+    want = {i: w and not any(w2 and k2 == k and k is not None and t2 != t and t2.startswith(t) for _, k2, t2, w2 in rows) for i, k, t, w in rows}
+    got = survivorship.mark_prefix_cuts(df, "k", "d", "whole").collect()
+    assert len(got) == len(rows) and {r.id: r.whole for r in got} == want
+    assert survivorship.mark_prefix_cuts(df.limit(0), "k", "d", "whole").count() == 0
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+
+
 @pytest.mark.parametrize(("text", "ok"), [("Rain moves the show. Bring a chair.", True), ("Rain moves the sh", False), ("Rain moves the show...", False), ("Rain moves it. Read more", False), ("TBA", False), (None, False), (" ", False), ("See our website for details.", False), ('He said "no more."', True), ("404 Not Found Access denied. Incident number 5.", False)])
 def test_whole_prose(spark, text, ok):
     assert spark.createDataFrame([(text,)], "t string").select(textmarks.is_whole_prose(F.col("t"))).first()[0] is ok
