@@ -1,9 +1,11 @@
 """Variant spellings of organisations' and persons' names.
 
 1. Distinct spellings are parsed (pure Python, Arrow batches) into core tokens (a place or family name), described by
-   their padded q-grams, and typed tokens: kinds, organisation words, first names and initials.
+   their padded q-grams, and typed tokens: kinds, organisation words, first names and initials. Core tokens have six
+   letters or more; a name without one (Dover Art League) has its short untyped tokens as its core.
 2. MinHash banding over the padded q-grams of distinct core tokens. ``tune_bands`` picks rows and bands from the
-   collision curve 1 - (1 - s^r)^b for a wanted recall at a wanted similarity. Token pairs that collide are verified by
+   collision curve 1 - (1 - s^r)^b for a wanted recall at a wanted similarity; short tokens also meet by single
+   deletions, so none of their one-edit pairs is missed. Token pairs that collide are verified by
    edit similarity, and spellings whose core tokens are linked are candidates.
 3. Candidates are verified by Monge-Elkan similarity of their tokens, where a token may meet a typing error, a
    prefix, a contraction or an initial of itself.
@@ -144,6 +146,7 @@ class Name:
     initials: str = ""
     extras: set[str] = field(default_factory=set)
     person: bool = False
+    brief: bool = False  # no long core token
     short: int = 0  # how many tokens are abbreviated or misspelled
 
 
@@ -230,9 +233,13 @@ def parse(raw: str) -> Name:
             out.short += 1
         else:
             out.core.append(w)
+    if not out.core:
+        own = [w for w, dotted in plain if w in out.words and not dotted and not _typed(w) and not _abbreviates(w)]
+        out.core, out.words, out.brief = own, [w for w in out.words if w not in own], True
+        out.short -= len(own)
     letters = letters_before_core + letters_after_core
     person_letters = letters and not acronym and not out.words and not out.first and (bool(letters_before_core) or comma or len(letters) == 1)
-    out.person = bool((out.first and not out.words) or person_letters)
+    out.person = bool((out.first and not out.words) or person_letters) and not (out.brief and len(out.core) > 1)
     if out.person:
         out.initials = letters
         out.short += 2 if not out.first else len(out.first) < 5
@@ -268,6 +275,16 @@ def _long(w: str) -> bool:
     return len(w) >= 6
 
 
+def _abbreviates(w: str) -> bool:
+    """w may be short for a typed word."""
+    return len(w) >= 3 and any(len(t) > len(w) and word_similarity(w, t) in (0.85, 0.9) for t in TYPED)
+
+
+def _edits_allowed(a: str, b: str) -> int:
+    n = min(len(a), len(b))
+    return TOKEN_EDITS if n >= 6 else 1 if n >= 4 else 0
+
+
 def _best(tokens: list[str], others: list[str]) -> float:
     """Monge-Elkan: the mean over tokens of the best similarity to any of the others; 0 if one meets none."""
     total = 0.0
@@ -279,14 +296,15 @@ def _best(tokens: list[str], others: list[str]) -> float:
     return total / len(tokens) if tokens else 1.0
 
 
-def _core_similarity(a: list[str], b: list[str]) -> float:
+def _core_similarity(a: list[str], b: list[str], brief: bool = False) -> float:
     if not a or not b or len(a) != len(b):
         return 0.0
     free, total = list(b), 0.0
     for t in a:
         k = min(free, key=lambda o: (edits(t, o), o))
         d = edits(t, k)
-        if d > TOKEN_EDITS and not (edits(t.rstrip("s"), k.rstrip("s")) <= TOKEN_EDITS):
+        most = _edits_allowed(t, k) if brief else TOKEN_EDITS
+        if d > most and not (edits(t.rstrip("s"), k.rstrip("s")) <= most):
             return 0.0
         total += 1 - 0.03 * d
         free.remove(k)
@@ -296,7 +314,8 @@ def _core_similarity(a: list[str], b: list[str]) -> float:
 def similarity(x: str, y: str) -> float:
     """Monge-Elkan similarity of two spellings in [0, 1]; 0 where a part contradicts."""
     a, b = parse(x), parse(y)
-    core = _core_similarity(a.core, b.core)
+    brief = a.brief or b.brief
+    core = _core_similarity(a.core, b.core, brief)
     if not core or a.person != b.person:
         return 0.0
     if a.person:
@@ -330,6 +349,9 @@ def similarity(x: str, y: str) -> float:
             return 0.55 * core + 0.45 * 0.75
         return 0.5 * core + 0.5 * 0.8 + 0.02
     needed = lambda n: [w for w in n.words if w not in OPTIONAL]
+    if brief and not needed(a) and not needed(b):
+        # the core is the whole name; a single short word must be equal
+        return core if len(a.core) > 1 or a.core == b.core else 0.0
     if not needed(a) or not needed(b) or abs(len(needed(a)) - len(needed(b))) > 0:
         return 0.0
     ab, ba = _best(needed(a), b.words), _best(needed(b), a.words)
@@ -362,6 +384,13 @@ def band_keys(token: str, rows: int, bands: int) -> list[int]:
     return [xxhash.xxh64_intdigest(low[b * rows : (b + 1) * rows].tobytes(), seed=b) - (1 << 63) for b in range(bands)]
 
 
+def deletion_keys(token: str) -> list[int]:
+    """Keys of a short token and its single deletions: any two within one edit or swap share one."""
+    if len(token) > 6:
+        return []
+    return [xxhash.xxh64_intdigest(t, seed=99) - (1 << 63) for t in {token, *(token[:i] + token[i + 1 :] for i in range(len(token)))}]
+
+
 def parsed_names(names: DataFrame, col: str = "name") -> DataFrame:
     """names with core (array of tokens) and quality (fewer abbreviations first)."""
     schema = T.StructType([T.StructField("core", T.ArrayType(T.StringType())), T.StructField("quality", T.IntegerType())])
@@ -369,7 +398,9 @@ def parsed_names(names: DataFrame, col: str = "name") -> DataFrame:
     @F.pandas_udf(schema)
     def run(s: pd.Series) -> pd.DataFrame:
         got = [parse(v) for v in s]
-        return pd.DataFrame({"core": [p.core for p in got], "quality": [-p.short for p in got]})
+        # a short word such as "art" is looked up only where the name has no longer one
+        core = [[t for t in p.core if len(t) >= 4] or p.core if p.brief else p.core for p in got]
+        return pd.DataFrame({"core": core, "quality": [-p.short for p in got]})
 
     return names.withColumn("p", run(F.col(col))).select("*", "p.*").drop("p")
 
@@ -379,7 +410,7 @@ def token_links(tokens: DataFrame, rows: int, bands: int) -> DataFrame:
 
     @F.pandas_udf(T.ArrayType(T.LongType()))
     def keys(s: pd.Series) -> pd.Series:
-        return pd.Series([band_keys(t, rows, bands) for t in s])
+        return pd.Series([band_keys(t, rows, bands) + deletion_keys(t) for t in s])
 
     @F.pandas_udf(T.BooleanType())
     def near(a: pd.Series, b: pd.Series) -> pd.Series:

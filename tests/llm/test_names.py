@@ -41,3 +41,16 @@ def test_classes_and_pairs(spark):
     pairs = {tuple(r) for r in names.pairs_of(c).collect()}
     assert {tuple(sorted(p, key=lambda s: s.encode())) for p in SAME} <= pairs and all(a.encode() < b.encode() for a, b in pairs)
     assert names.classes(df.limit(0), "name").count() == 0
+
+
+SHORT = [("The Dover Art League", "Dover Art League, Inc."), ("Dover Art League", "Dovr Art League"), ("Lewes Historical Society", "Lewes Hist. Soc."), ("Arden Club", "The Ardan Club"), ("Richard Smith", "Smith, Dick")]
+
+
+def test_names_without_a_long_word(spark):
+    assert all(names.similarity(a, b) >= names.LINK for a, b in SHORT)
+    assert all(names.similarity(a, b) < names.LINK for a, b in [("Dover Art League", "Lewes Art League"), ("Lewes Historical Society", "Lewes Film Society"), ("Arden Club", "Arden Guild"), ("Arden", "Ardan"), ("Richard Smith", "William Smith")])
+    c = {r.name: r.centre for r in names.classes(spark.createDataFrame([(n,) for p in SHORT for n in p], "name string"), "name").collect()}
+    assert all(c[a] == c[b] for a, b in SHORT) and len(set(c.values())) == 4
+    for t in ("arden", "lewes", "club"):
+        for u in {t[:i] + x + t[i + 1 :] for i in range(len(t)) for x in ("", "q")}:
+            assert set(names.deletion_keys(t)) & set(names.deletion_keys(u))
