@@ -24,7 +24,8 @@ def _duplicate_cells(spark: SparkSession, sf_dir: str, with_values: bool) -> Dat
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(canonical_identity, description_event_id, address_event_id) of every identity with two ids or more."""
+    """(canonical_identity, description_event_id, address_event_id) of every identity with two ids or more. Without trust the
+    skyline of one field comes down to its latest good record, so no layers are built."""
     won = survivorship.field_winners(_duplicate_cells(spark, sf_dir, False), "canonical_identity", ["description", "address"])
     return won.where("several").select("canonical_identity", F.col("description_id").alias("description_event_id"), F.col("address_id").alias("address_event_id"))
 
