@@ -14,15 +14,19 @@ JUNK = ["404 Not Found", "Please enable JavaScript to view this calendar.", "Lor
 
 
 def test_residue(spark):
+    """Texts that no trusted pattern names are learned: they recur, stand in both fields or keep residue's company."""
     rng = random.Random(1)
-    rows = [(i, "Night of songs", " ".join(s.format(n=rng.randrange(90)) for s in rng.sample(NORMAL, 3))) for i in range(300)]
-    rows += [(1000 + i, "Show", rng.choice(JUNK)) for i in range(60)]
-    rows += [(2000, "[event_name]", None), (2001, "Show", "Songs by %venue% on the pier at 5."), (2002, None, None), (2003, "", " "), (2004, "choir " * 20_000, None)]
-    rows += [(3000 + i, 'How a server answers "404 Not Found" to a choir', "Ticket price {reduced} for members of the choir.") for i in range(20)]
-    df = spark.createDataFrame(rows + rows[300:310], "id long, title string, description string").withColumn("passage", F.lit("clash"))
-    got = [r.id for r in residue.records(df, "id", ["title", "description"]).collect()]
-    assert len(got) == len(set(got)) and set(got) == {1000 + i for i in range(60)} | {2000, 2001}
+    rows = [(i, f"Night {i % 40} of songs", " ".join(s.format(n=rng.randrange(90)) for s in rng.sample(NORMAL, 3)) + f" Hall {i}") for i in range(400)]
+    rows += [(1000 + i, rng.choice(JUNK), rng.choice(JUNK)) for i in range(60)]
+    rows += [(2000, "[event_name]", None), (2001, "Night 1 of songs", "Songs by %venue% on the pier at 5."), (2002, None, None), (2003, "", " "), (2004, "choir " * 20_000, None), (None, "404 Not Found", None)]
+    rows += [(2005, "Night 2 of songs", "{{" + "long name " * 20 + "}}")]
+    rows += [(3000 + i, 'How a server answers "404 Not Found" to a choir', f"Ticket price {{reduced}} for members of the choir, row {i} of the harbor hall on the pier.") for i in range(20)]
+    df = spark.createDataFrame(rows + rows[300:310], "id long, title string, description string").withColumn("seeded", F.lit("clash"))
+    got = {r.id: r.seeded for r in residue.records(df, "id", ["title", "description"]).collect()}
+    assert set(got) == {1000 + i for i in range(60)} | {2000, 2001, 2005}
+    assert sum(not s for s in got.values()) >= 5
     assert residue.records(df.limit(0), "id", ["title", "description"]).count() == 0
+    assert residue.records(df.where("id < 300"), "id", ["title", "description"]).count() == 0
 
 
 # ---- survivors --------------------------------------------------------------------------------------------------
