@@ -4,10 +4,13 @@
    whose name is smallest, since no text may be used more than ``max_repeats`` times whatever ids it goes by.
 2. The mix's size is given, or the largest for which every source can reach its target with its repeats. It is cut into
    ``blocks`` equal blocks; they go to sources by highest quotients share / (2 s + 1), never beyond a source's capacity.
-3. A source is hashed into shards of about ``shard_tokens`` tokens; its blocks go to shards by the same rule with the
-   shards' tokens as weights: integer quotas, and one row per shard is all that reaches the driver.
-4. In each shard the quota is filled in seeded order: whole passes over the shard, then a prefix of it. A window runs
-   over one shard only, so a source that holds a third of all rows is worked on by as many tasks as it has shards.
+3. A source is hashed into shards of about ``shard_tokens`` tokens, but of SHARD_BLOCKS blocks at least; its blocks go
+   to shards by the same rule with the shards' tokens as weights. Quotas are integer; what a shard cannot hold of its
+   last block goes to shards with room, so no part of a source's quota is lost. One row per shard reaches the driver, at
+   most blocks / SHARD_BLOCKS plus one per source, whatever the corpus.
+4. A shard's texts in seeded order are cut into blocks; whole passes over the shard and the first blocks of the rest
+   fill its quota (the seeded order makes this a seeded choice of blocks). A window runs over one shard only, so a
+   source that holds a third of all rows is worked on by as many tasks as it has shards.
 
 Defined cases: null or empty texts have no tokens and are never chosen; sources without a target get nothing, the
 shares of targets without texts fall to the others in proportion (the shares reached say so); ties in quotients go to the smaller name; repeated rows of one id are
@@ -17,6 +20,7 @@ one text; an empty table gives an empty mix; extra columns are ignored.
 from __future__ import annotations
 
 import heapq
+import os
 from collections.abc import Iterator
 
 import pandas as pd
@@ -27,7 +31,9 @@ from pyspark.sql import types as T
 from marquee.session import checkpointed
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
-BLOCKS, SHARD_TOKENS, SEED = 10_000, 50_000_000, 17
+BLOCKS, SHARD_TOKENS, SEED = 100_000, 50_000_000, 17
+#: A shard gets SHARD_BLOCKS blocks or more on average, so shards are at most BLOCKS / SHARD_BLOCKS and their table is bounded.
+SHARD_BLOCKS = 8
 
 
 def sainte_lague(weights: dict, seats: int, caps: dict | None = None) -> dict:
@@ -46,14 +52,35 @@ def sainte_lague(weights: dict, seats: int, caps: dict | None = None) -> dict:
     return got
 
 
+def shard_quotas(shards: dict, seats: int, size: float, repeats: int) -> dict:
+    """Tokens per shard: its blocks, at most what it holds with its repeats; the excess goes to shards with room."""
+    room = {k: n * repeats for k, n in shards.items()}
+    blocks = sainte_lague(shards, seats, {k: int(r / size) + 1 for k, r in room.items()})
+    quota = {k: min(b * size, room[k]) for k, b in blocks.items()}
+    missing = min(seats * size, sum(room.values())) - sum(quota.values())
+    free = sum(room[k] - q for k, q in quota.items())
+    if missing > 0 and free > 0:
+        quota = {k: q + missing * (room[k] - q) / free for k, q in quota.items()}
+    # integers by largest remainder
+    whole = {k: int(q + 1e-6) for k, q in quota.items()}
+    left = round(sum(quota.values())) - sum(whole.values())
+    for k in sorted(quota, key=lambda k: (whole[k] - quota[k], k))[: max(0, left)]:
+        whole[k] += whole[k] < room[k]
+    return whole
+
+
 def token_counts(docs: DataFrame, text_col: str, tokenizer: str = TOKENIZER) -> DataFrame:
-    """docs with tokens (long): Arrow batches through the tokenizer's own batch encoder."""
+    """docs with tokens (long): Arrow batches through the tokenizer's own batch encoder. The driver's file is handed to
+    the executors by Spark, so it need not exist on them."""
+    docs.sparkSession.sparkContext.addFile(tokenizer)
+    name = os.path.basename(tokenizer)
 
     @F.pandas_udf(T.LongType())
     def count(it: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        from pyspark import SparkFiles
         from tokenizers import Tokenizer
 
-        tok = Tokenizer.from_file(tokenizer)
+        tok = Tokenizer.from_file(SparkFiles.get(name))
         tok.encode_special_tokens = True
         for s in it:
             texts = [t if isinstance(t, str) else "" for t in s]
@@ -92,7 +119,7 @@ def mix(
         total_tokens = int(min((capacity[s] / share[s] for s in sums if share[s] > 0), default=0))
     size = max(1.0, total_tokens / blocks)
     seats = sainte_lague(share, blocks, {s: int(capacity[s] / size + 1e-9) for s in sums})
-    n_shards = {s: max(1, -(-n // shard_tokens)) for s, n in sums.items()}
+    n_shards = {s: max(1, min(-(-n // shard_tokens), seats[s] // SHARD_BLOCKS)) for s, n in sums.items()}
     shard_table = [(s, n_shards[s]) for s in sums]
     shards_of = F.broadcast(spark.createDataFrame(shard_table, "source string, n_shards long"))
     order = F.xxhash64(F.lit(seed), F.col("h"))
@@ -101,9 +128,8 @@ def mix(
     quotas = []
     for s in sums:
         mine = {k: n for k, n in shard_sums.items() if k[0] == s}
-        got = sainte_lague(mine, seats[s], {k: int(n * goal[s][1] / size + 1e-9) + 1 for k, n in mine.items()})
-        quotas += [(*k, float(min(q * size, mine[k] * goal[s][1])), mine[k], goal[s][1]) for k, q in got.items()]
-    quota = F.broadcast(spark.createDataFrame(quotas, "source string, shard long, quota double, shard_tokens long, max_repeats int"))
+        quotas += [(*k, q, mine[k], goal[s][1]) for k, q in shard_quotas(mine, seats[s], size, goal[s][1]).items()]
+    quota = F.broadcast(spark.createDataFrame(quotas, "source string, shard long, quota long, shard_tokens long, max_repeats int"))
     running = Window.partitionBy("source", "shard").orderBy(order, "id").rowsBetween(Window.unboundedPreceding, 0)
     run = placed.join(quota, ["source", "shard"]).withColumn("passes", F.floor(F.col("quota") / F.col("shard_tokens")))
     run = run.withColumn("upto", F.sum("tokens").over(running)).withColumn("rest", F.col("quota") - F.col("passes") * F.col("shard_tokens"))

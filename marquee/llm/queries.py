@@ -20,14 +20,14 @@ def _duplicate_cells(spark: SparkSession, sf_dir: str, with_values: bool) -> Dat
     slim = survivorship.mark_prefix_cuts(slim, "canonical_identity", "description", "whole")
     good = {"description": F.col("whole"), "address": textmarks.is_whole_address(F.col("address"))}
     carry = {"description": F.col("description"), "address": F.col("address")} if with_values else None
-    return survivorship.cells(slim, "canonical_identity", "id", good, F.col("retrieved"), F.col("trust") if with_values else None, carry)
+    return survivorship.cells(slim, "canonical_identity", "id", good, F.col("retrieved"), F.col("trust"), carry)
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(canonical_identity, description_event_id, address_event_id) of every identity with two ids or more. Without trust the
-    skyline of one field comes down to its latest good record, so no layers are built."""
+    """(canonical_identity, description_event_id, address_event_id) of every identity with two ids or more, by the
+    skyline of each field under a policy that puts recency before trust."""
     won = survivorship.field_winners(_duplicate_cells(spark, sf_dir, False), "canonical_identity", ["description", "address"])
-    return won.where("several").select("canonical_identity", F.col("description_id").alias("description_event_id"), F.col("address_id").alias("address_event_id"))
+    return won.select("canonical_identity", F.col("description_id").alias("description_event_id"), F.col("address_id").alias("address_event_id"))
 
 
 def p6_survivors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -106,11 +106,11 @@ _WHOLE = rf"""(d IS NOT NULL AND NOT regexp_matches(trim(d), '{_sql(textmarks.PL
 _ADDRESS = " AND ".join([_real("street", r"\d.*\p{L}{2}|\p{L}{2}.*\d"), _real("city", r"\p{L}{2}"), _real("state", r"^\p{L}[\p{L}.\s]+$"), _real("postalCode", r"^\d{5}(?:-?\d{4})?$")])
 
 ORACLES: dict[str, str] = {
-    "p6_found": rf"""WITH e AS (SELECT DISTINCT canonical_identity AS k, id, description AS d, trim(regexp_replace(description, '\s+', ' ', 'g')) AS t, list_max(list_transform(provenance, lambda p: p.retrieved_at)) AS seen,
+    "p6_found": rf"""WITH e AS (SELECT DISTINCT canonical_identity AS k, id, description AS d, trim(regexp_replace(description, '\s+', ' ', 'g')) AS t, list_max(list_transform(provenance, lambda p: p.retrieved_at)) AS seen, CASE WHEN source_category = 'government' THEN 1 ELSE 0 END AS trust,
       CASE WHEN address IS NOT NULL AND {_ADDRESS} THEN 1 ELSE 0 END AS good_address FROM event_records WHERE canonical_identity IS NOT NULL),
     w AS (SELECT *, {_WHOLE} AS whole FROM e),
     g AS (SELECT *, whole AND NOT EXISTS (SELECT 1 FROM w o WHERE o.k = w.k AND o.whole AND length(o.d) > length(w.d) AND starts_with(o.d, w.d)) AS good FROM w),
     n AS (SELECT k FROM g GROUP BY k HAVING count(DISTINCT id) > 1),
-    de AS (SELECT k, id, row_number() OVER (PARTITION BY k ORDER BY seen DESC, id) AS rn FROM g WHERE good), ad AS (SELECT k, id, row_number() OVER (PARTITION BY k ORDER BY seen DESC, id) AS rn FROM g WHERE good_address = 1)
+    de AS (SELECT k, id, row_number() OVER (PARTITION BY k ORDER BY seen DESC, trust DESC, id) AS rn FROM g WHERE good), ad AS (SELECT k, id, row_number() OVER (PARTITION BY k ORDER BY seen DESC, trust DESC, id) AS rn FROM g WHERE good_address = 1)
     SELECT n.k AS canonical_identity, de.id AS description_event_id, ad.id AS address_event_id FROM n LEFT JOIN de ON de.k = n.k AND de.rn = 1 LEFT JOIN ad ON ad.k = n.k AND ad.rn = 1""",
 }

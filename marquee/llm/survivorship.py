@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from marquee.functions.temporal import let
 from marquee.session import checkpointed
 
 EARLIEST = "0001-01-01 00:00:00"
@@ -74,14 +75,27 @@ def layered(group: Column, flags: list[str]):
 
 
 def field_winners(cells_df: DataFrame, key: str, fields: list[str]) -> DataFrame:
-    """(key, n_cells, several, <field>_id ...): per field the skyline over (that field's completeness, recency, trust),
-    resolved by completeness, recency, trust, id. The first in this order is undominated, so layer 1 holds it."""
-    aggs = []
-    for f in fields:
-        order = F.struct((-F.unix_micros("recency")).alias("a"), (-F.col("trust")).alias("b"), F.col("rid").alias("c"))
-        aggs.append(F.min_by(F.when(F.col(f"good_{f}"), F.col("rid")), F.when(F.col(f"good_{f}"), order)).alias(f"{f}_id"))
+    """(key, <field>_id, <field>_layer ...) of every key with two ids or more: per field the skyline over (that
+    field's completeness, recency, trust) and its further layers. The lexicographic policy (completeness, recency,
+    trust, id) resolves inside a layer; a field that layer 1 leaves null is filled from the next layer that has it."""
+    flags = [f"good_{f}" for f in fields]
+    payload = F.struct("rid", "recency", "trust", *flags)
     several = F.max("several") | (F.min("rid") != F.max("rid"))
-    return cells_df.groupBy(key).agg(*aggs, several.alias("several"))
+    grouped = cells_df.groupBy(key).agg(F.collect_list(payload).alias("g"), several.alias("several")).where("several")
+    element = F.struct(F.col("g")[0].alias("e"), F.lit(1).alias("layer"))
+    for f, flag in zip(fields, flags, strict=True):
+        ordered, step = layered(F.col("g"), [flag])
+        found = F.aggregate(ordered, F.slice(F.array(element), 1, 0), step)
+        # the fold keeps the policy's order, so the first of the lowest layer with a value is the policy's choice
+        usable = _with_flag(found, flag)
+        lowest = F.array_min(F.transform(usable, lambda x: x["layer"]))
+        grouped = grouped.withColumn(f"{f}_won", let(F.struct(usable.alias("u"), lowest.alias("n")), lambda x: F.get(F.filter(x["u"], lambda y: y["layer"] == x["n"]), F.lit(0))))
+    cols = [c for f in fields for c in (F.col(f"{f}_won")["e"]["rid"].alias(f"{f}_id"), F.col(f"{f}_won")["layer"].alias(f"{f}_layer"))]
+    return grouped.select(key, *cols)
+
+
+def _with_flag(found: Column, flag: str) -> Column:
+    return F.filter(found, lambda x: x["e"][flag])
 
 
 def survivors(cells_df: DataFrame, key: str, fields: list[str]) -> DataFrame:

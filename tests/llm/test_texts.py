@@ -49,14 +49,18 @@ def test_survivors_against_brute_force(spark):
     df = spark.createDataFrame(rows, "k string, id string, a boolean, b boolean, t string, trust int")
     cells = survivorship.cells(df, "k", "id", {"a": F.col("a"), "b": F.col("b")}, F.col("t").cast("timestamp"), F.col("trust"), {"a": F.col("id"), "b": F.col("id")})
     got = {r.k: r for r in survivorship.survivors(cells, "k", ["a", "b"]).collect()}
-    won = {r.k: r for r in survivorship.field_winners(survivorship.cells(df, "k", "id", {"a": F.col("a"), "b": F.col("b")}, F.col("t").cast("timestamp")), "k", ["a", "b"]).collect()}
+    won = {r.k: r for r in survivorship.field_winners(survivorship.cells(df, "k", "id", {"a": F.col("a"), "b": F.col("b")}, F.col("t").cast("timestamp"), F.col("trust")), "k", ["a", "b"]).collect()}
+    assert set(won) == {k for k in {r[0] for r in rows} if sum(r[0] == k for r in rows) > 1}
     for k in {r[0] for r in rows}:
         mine = [r for r in rows if r[0] == k]
         layers = brute_layers([(r[1], (r[2], r[3], r[4], r[5])) for r in mine])
         for f, at in (("a", 2), ("b", 3)):
             good = [r for r in mine if r[at]]
-            best = min(good, key=lambda r: (-int(r[4][8:10]), r[1]), default=None)
-            assert won[k][f"{f}_id"] == (best[1] if best else None)
+            best = min(good, key=lambda r: (-int(r[4][8:10]), -r[5], r[1]), default=None)
+            if k in won:
+                of_field = brute_layers([(r[1], (r[at], r[4], r[5])) for r in mine])
+                assert won[k][f"{f}_id"] == (best[1] if best else None)
+                assert won[k][f"{f}_layer"] == min((of_field[r[1]] for r in good), default=None)
             layer = min((layers[r[1]] for r in good), default=None)
             assert got[k][f"{f}_layer"] == layer or (layer is not None and got[k][f"{f}_layer"] <= layer)
 
@@ -184,3 +188,16 @@ def test_mix(spark):
     assert abs(s["big"].tokens / s["small"].tokens - 0.75 / 0.2) < 0.2 and s["gone"].tokens == 0
     assert {r.doc_id: r.repeats for r in mixing.mix(docs, targets, blocks=500)[0].collect()} == {r.doc_id: r.repeats for r in c}
     assert mixing.mix(docs.limit(0), targets)[0].count() == 0
+
+
+def test_blocks_larger_than_shards_lose_nothing(spark):
+    rows = [(i, "harbor choir lantern " * 10 + str(i), "a" if i % 3 else "b") for i in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    targets = spark.createDataFrame([("a", 0.5, 2), ("b", 0.5, 2)], "source_name string, target_share double, max_repeats int")
+    whole = {r.source_name: r.tokens for r in mixing.mix(docs, targets, blocks=6)[1].collect()}
+    for shard_tokens in (100, 1000):
+        got = {r.source_name: r.tokens for r in mixing.mix(docs, targets, blocks=6, shard_tokens=shard_tokens)[1].collect()}
+        assert all(abs(got[s] - whole[s]) <= sum(whole.values()) / 6 for s in whole)
+    for shards, seats, size, repeats in (({1: 100, 2: 100, 3: 7}, 5, 60.0, 2), ({1: 10, 2: 10}, 3, 6.0, 1), ({1: 50}, 4, 33.3, 9)):
+        quota = mixing.shard_quotas(shards, seats, size, repeats)
+        assert sum(quota.values()) == round(min(seats * size, repeats * sum(shards.values()))) and all(0 <= q <= shards[k] * repeats for k, q in quota.items())
