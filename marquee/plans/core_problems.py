@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marquee.functions.moments import Policy
 from marquee.operators.packed_values import learn_codes, split_packed
 from marquee.operators.row_loading import CATALOG_HEADER, PARTNER_HEADER, load_rows
 from marquee.operators.timestamps import normalise
@@ -35,21 +36,35 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.where("n_values > 1").select("field_name", "record_id", "pos", "item")
 
 
-def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(occ_key, start_us) of every occurrence that gives an instant; an event's own occurrences, in the order in
-    which they were received or listed, are a source."""
-    raw = read_table(spark, sf_dir, "raw_occurrences").select("event_id", "received_at", "occ_key", "start_text", "source_timezone")
+def _feeds(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Both occurrence tables with the feed that wrote them: the event's source, the partner file."""
+    events = read_table(spark, sf_dir, "event_records").select(F.col("id").alias("event_id"), F.col("source_record_id").alias("feed")).groupBy("event_id").agg(F.min("feed").alias("feed"))
+    files = read_table(spark, sf_dir, "scene_inputs").select("input_id", F.col("file_name").alias("feed")).groupBy("input_id").agg(F.min("feed").alias("feed"))
+    raw = read_table(spark, sf_dir, "raw_occurrences").select("event_id", "received_at", "occ_key", "start_text", "source_timezone").join(events, "event_id", "left")
     day, clock = F.trim("start_date"), F.trim("start_time")
-    scene = read_table(spark, sf_dir, "scene_occurrences").select(
-        "input_id", "physical_row", "occ_key", F.when((day != "") & (clock != ""), F.concat(day, F.lit(" "), clock)).alias("start_text")
-    )
-    found = normalise(raw, "event_id", ["received_at"], "occ_key", "start_text", "source_timezone").unionByName(
-        normalise(scene, "input_id", ["physical_row"], "occ_key", "start_text")
-    )
-    return found.where(F.col("start_us").isNotNull()).groupBy("occ_key").agg(F.min("start_us").alias("start_us"))
+    text = F.when((day != "") & (clock != ""), F.concat(day, F.lit(" "), clock)).alias("start_text")
+    scene = read_table(spark, sf_dir, "scene_occurrences").select("input_id", "physical_row", "occ_key", text).join(files, "input_id", "left")
+    return raw, scene
+
+
+def _decoded(spark: SparkSession, sf_dir: str, policy: Policy) -> DataFrame:
+    """(occ_key, label, start_us): both tables, decoded along each feed in the order of its records."""
+    raw, scene = _feeds(spark, sf_dir)
+    found = normalise(raw, "feed", ["received_at"], "occ_key", "start_text", "source_timezone", policy).unionByName(normalise(scene, "feed", ["physical_row"], "occ_key", "start_text", None, policy))
+    return found.where(F.col("start_us").isNotNull()).groupBy("occ_key").agg(F.min(F.struct("start_us", "label")).alias("r")).select("occ_key", "r.label", "r.start_us")
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(occ_key, start_us) of every occurrence that gives an instant. The project's rules are the emission costs."""
+    return _decoded(spark, sf_dir, Policy()).select("occ_key", "start_us")
+
+
+def p7_open(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(occ_key, label, start_us) where day-first and month-first are left to the feed's run of formats and times."""
+    return _decoded(spark, sf_dir, Policy("either", "either"))
 
 
-QUERIES = {"p3_found": p3_found, "p3_loaded": p3_loaded, "p4_found": p4_found, "p7_found": p7_found}
+QUERIES = {"p3_found": p3_found, "p3_loaded": p3_loaded, "p4_found": p4_found, "p7_found": p7_found, "p7_open": p7_open}
 
 _HOST = r"(?:[a-z0-9](?:[a-z0-9-]*[a-z0-9])?\.)+[a-z0-9](?:[a-z0-9-]*[a-z0-9])?(?::\d{1,5})?(?:[/?#]\S*)?"
 _FIELD = r'"(?:[^"]|"")*"|[^",\r\n]*'
