@@ -46,7 +46,7 @@ _PAGE_SQL = f"""WITH {EV}, {OCC} SELECT id, occ_id AS occurrence_id, day, clock,
 
 def _page(spark: SparkSession, d: str, q: eq.ListQuery) -> DataFrame:
     o = F.col("occurrence")
-    return eq.list_events(views.events(spark, d), q).select("id", o["id"].alias("occurrence_id"), temporal.occurrence_day(o).alias("day"), F.coalesce(o["local_time"], F.lit("")).alias("clock"), "title", "city")
+    return eq.list_events(views.events(spark, d, views.PUBLISHED), q).select("id", o["id"].alias("occurrence_id"), temporal.occurrence_day(o).alias("day"), F.coalesce(o["local_time"], F.lit("")).alias("clock"), "title", "city")
 
 
 @query(f"{_PAGE_SQL} OFFSET 50")
@@ -66,7 +66,7 @@ def list_first_page(spark: SparkSession, d: str) -> DataFrame:
     WHERE publication_status = 'published' AND region IN ('Mid County', 'Inland Bays') AND list_has_any(categories, ['Gardens', 'Strings', 'Exhibits']) AND {UPCOMING}"""
 )
 def list_totals(spark: SparkSession, d: str) -> DataFrame:
-    return eq.totals(eq.matches(views.events(spark, d), PAGE), PAGE.page_size)
+    return eq.totals(eq.matches(views.events(spark, d, views.PUBLISHED), PAGE), PAGE.page_size)
 
 
 @query(
@@ -74,7 +74,7 @@ def list_totals(spark: SparkSession, d: str) -> DataFrame:
     OR contains(lower(replace(coalesce(organization, ''), chr(160), ' ')), 'harbor songs') OR contains(lower(coalesce(venue, '')), 'harbor songs') OR contains(lower(coalesce(city, '')), 'harbor songs') OR contains(lower(array_to_string(coalesce(categories, []), chr(1))), 'harbor songs'))"""
 )
 def search_events(spark: SparkSession, d: str) -> DataFrame:
-    return eq.search(views.events(spark, d).where("publication_status = 'published'"), " Harbor Songs ").select("id")
+    return eq.search(views.events(spark, d, views.PUBLISHED), " Harbor Songs ").select("id")
 
 
 @query(
@@ -83,14 +83,14 @@ def search_events(spark: SparkSession, d: str) -> DataFrame:
     UNION ALL SELECT 'cost', cost_text FROM p UNION ALL SELECT 'audience', audience FROM p UNION ALL SELECT 'accessibility', accessibility FROM p UNION ALL SELECT 'category', unnest(categories) FROM p) WHERE coalesce(value, '') <> ''"""
 )
 def facets(spark: SparkSession, d: str) -> DataFrame:
-    return eq.facets(views.events(spark, d))
+    return eq.facets(views.events(spark, d, views.PUBLISHED))
 
 
 @query(
     f"""WITH {EV}, {OCC} SELECT id, title, occ_id AS occurrence_id, day, public_source_url AS source_url FROM occ WHERE id = 'event-000000010' AND publication_status = 'published' AND {UPCOMING}"""
 )
 def detail_lookup(spark: SparkSession, d: str) -> DataFrame:
-    out = eq.detail(views.events(spark, d), "event-000000010", OPENED_AT)
+    out = eq.detail(views.events(spark, d, f"{views.PUBLISHED} AND id = 'event-000000010'"), "event-000000010", OPENED_AT)
     return out.select("id", "title", "source.url", F.explode("occurrences").alias("o")).select("id", "title", F.col("o.id").alias("occurrence_id"), temporal.occurrence_day(F.col("o")).alias("day"), F.col("url").alias("source_url"))
 
 
@@ -99,12 +99,12 @@ _ELIGIBLE = "(CASE WHEN kind = 'date' THEN DATE '2026-08-18' >= CAST(sd AS DATE)
 
 @query(f"WITH {EV}, {OCC} SELECT id FROM occ WHERE publication_status = 'published' GROUP BY id HAVING bool_and({_ELIGIBLE})")
 def archival_forall(spark: SparkSession, d: str) -> DataFrame:
-    return retention.eligible_events(views.events(spark, d), OPENED_AT, 30).select("id")
+    return retention.eligible_events(views.events(spark, d, views.PUBLISHED), OPENED_AT, 30).select("id")
 
 
 @query(f"WITH {EV}, {OCC} SELECT id FROM ev WHERE publication_status = 'published' AND EXISTS (SELECT 1 FROM occ WHERE occ.id = ev.id) AND NOT EXISTS (SELECT 1 FROM occ WHERE occ.id = ev.id AND NOT {_ELIGIBLE}) ORDER BY id")
 def archival_semi_anti(spark: SparkSession, d: str) -> DataFrame:
-    e = views.events(spark, d)
+    e = views.events(spark, d, views.PUBLISHED)
     child = e.select(F.col("id").alias("event_id"), F.explode("occurrences").alias("o"))
     return retention.eligible_by_joins(e, child, OPENED_AT, 30).select("id")
 

@@ -11,9 +11,16 @@ from marquee.session import read_table
 OPENED_AT = "2026-08-18T12:00:00Z"
 
 
-def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """event_records, each id once, with flat occurrences (local day and time derived in the occurrence's own zone)."""
-    e = read_table(spark, sf_dir, "event_records").dropDuplicates(["id"])
+PUBLISHED = "publication_status = 'published'"
+
+
+def events(spark: SparkSession, sf_dir: str, where: str | None = None) -> DataFrame:
+    """event_records, each id once (its earliest copy), with flat occurrences (local day and time derived in the
+    occurrence's own zone). Copies of an id are equal, so ``where`` may run first and reach the scan; every column is an
+    aggregate of its own, so those not asked for are neither read nor shuffled."""
+    stored = read_table(spark, sf_dir, "event_records")
+    stored = stored.where(where) if where else stored
+    e = stored.groupBy("id").agg(*[F.min_by(c, F.struct("created_at")).alias(c) for c in stored.columns if c != "id"])
 
     def flat(o):
         zone = F.when(temporal.valid_zone(o["source_timezone"]), o["source_timezone"]).otherwise("UTC")
@@ -34,7 +41,8 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """extracted_events as candidates, each id once."""
-    x = read_table(spark, sf_dir, "extracted_events").dropDuplicates(["extracted_id"])
+    stored = read_table(spark, sf_dir, "extracted_events")
+    x = stored.groupBy("extracted_id").agg(*[F.min_by(c, F.struct("extracted_at")).alias(c) for c in stored.columns if c != "extracted_id"])
     none = F.lit(None).cast("string")
     occ = F.transform("occurrences", lambda o, i: F.struct(F.concat_ws("-", F.lit("o"), "extracted_id", i).alias("id"), F.regexp_replace(F.trim(o["start_text"]), r"^(\d{4}-\d{2}-\d{2})\s+(\d{2}:\d{2})", "$1T$2").alias("start"), o["end_text"].alias("end"), F.nullif(o["timezone_text"], F.lit("")).alias("zone")))
     return x.select(
