@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from marquee.functions import schedules
 from marquee.operators.merge import ingest
 from marquee.sources import catalog, pages, partner
 from marquee.streaming import ingestion
@@ -23,6 +24,34 @@ def test_extraction_cascade(spark):
     assert [(r.link, r.priority) for r in pages.links(frame(spark)).orderBy("rank").collect()] == [("https://a.example/cal.ics", 0), ("https://a.example/events/1", 0)]
 
 
+PAGE = """<h2>Elsewhere</h2><div class="main content"><h2>Harbor &amp; Songs</h2><i class="icon-calendar x">Saturday, May 1, 2027 at 7:30 p.m.</i><span class="icon-price">$5</span>
+<p class="intro">Presented by The Choir.</p><p class="intro">Songs of the sea.</p><p class="intro lead">Bring a chair.</p><p class="tags"><a href="/t">Music</a> <a href="/r">Southern Delaware</a></p>
+<h3>Venue</h3> <div class="info"><a href="/v">Town Hall</a><br>1 Main St<br/>Floor 2<br>Lewes, DE 19958</div><a href="/buy?a=1&amp;b=2">Get Tickets</a><a id="moar"></a><h2>After</h2></div>"""
+
+
+def test_listing_pages(spark):
+    rows = [("https://list.example/event/17/harbor", PAGE, "Org"), ("https://list.example/event/18/x", PAGE.replace("Saturday, May 1, 2027 at 7:30 p.m.", "soon"), "Org"), ("https://other.example/event/17/x", PAGE, "Org"), ("https://list.example/event/19/bare", '<h2>Bare</h2><i class="icon-calendar">May 2, 2027</i>', "Org")]
+    got = {r.supplied_id: r for r in pages.extract_listing(spark.createDataFrame(rows, "url string, body string, organization string"), "list.example", "2026-11-26").collect()}
+    r = got["17"]
+    assert set(got) == {"17", "19"} and (r.title, r.cost, r.organization, r.description) == ("Harbor & Songs", "$5", "The Choir", "Songs of the sea.\n\nBring a chair.")
+    assert (r.venue, r.city, r.region, r.categories, r.ticket_url) == ("Town Hall", "Lewes", "Southern Delaware", ["Music"], "https://list.example/buy?a=1&b=2")
+    assert r.address == {"street": "1 Main St, Floor 2", "city": "Lewes", "state": "DE", "postalCode": "19958"} and tuple(r.occurrences[0]) == ("2027-05-01T19:30:00", None, "America/New_York")
+    assert got["19"].address is None and got["19"].venue is None and got["19"].organization == "Org" and got["19"].occurrences[0].start == "2027-05-02"
+
+
+SCHEDULES = {
+    "May 1, 2027 at 7:30 p.m.": ("2027-05-01T19:30:00", None), "November 5 through December 2": ("2026-11-05", "2026-12-02"), "December 20 - January 3": ("2026-12-20", "2027-01-03"), "Now through March 3": ("2026-08-18", "2027-03-03"),
+    "May 1 – 5, 2027": ("2027-05-01", "2027-05-05"), "May 1 at 12 midnight": ("2027-05-01T00:00:00", None), "05/12": ("2027-05-12", None), "May 1 - 9 pm": ("2027-05-01", None), "August 17": ("2027-08-17", None), "August 18": ("2026-08-18", None),
+    "June 31": None, "May 1 at 13 pm": None, "hello": None, "": None, None: None, "12": None, "now through June 31": None,
+}
+
+
+def test_schedules(spark):
+    df = spark.createDataFrame([(t,) for t in SCHEDULES], "t string")
+    got = {r.t: r.s and (r.s.start, r.s.end) for r in df.select("t", schedules.schedule(F.col("t"), F.lit("2026-08-18")).alias("s")).collect()}
+    assert got == SCHEDULES
+
+
 def test_robots(spark):
     rules = pages.robots_rules(spark.createDataFrame([("https://a.example", "User-agent: *\nDisallow: /e\nAllow: /events # ok\nUser-agent: x\nDisallow: /")], "origin string, body string"), "bot")
     got = {r.url: r.allowed for r in pages.allowed(frame(spark).select("url"), rules).collect()}
