@@ -1,32 +1,37 @@
 """Variant spellings of organisations' and persons' names.
 
-1. Distinct spellings are parsed (pure Python, Arrow batches) into core tokens (a place or family name), described by
-   their padded q-grams, and typed tokens: kinds, organisation words, first names and initials. Core tokens have six
-   letters or more; a name without one (Dover Art League) has its short untyped tokens as its core.
-2. MinHash banding over the padded q-grams of distinct core tokens. ``tune_bands`` picks rows and bands from the
-   collision curve 1 - (1 - s^r)^b for a wanted recall at a wanted similarity; short tokens also meet by single
-   deletions, so none of their one-edit pairs is missed. Token pairs that collide are verified by
-   edit similarity, and spellings whose core tokens are linked are candidates.
-3. Candidates are verified by Monge-Elkan similarity of their tokens, where a token may meet a typing error, a
-   prefix, a contraction or an initial of itself.
+Nothing is known about the words beforehand but function words and, optionally, a table of nicknames. From the distinct
+spellings themselves a *lexicon* is learned:
+
+* common words: words that recur and are mostly not the rarest of their spelling (kinds, legal forms, first names);
+  the rarest word of a name is what tells it from others. Words of fewer spellings than COMMON_SHARE are never common, so
+  the lexicon has at most mean words per name / COMMON_SHARE entries and may travel with the tasks;
+* optional words: common words whose removal often leaves a spelling that exists too (the, inc, a person's "studio").
+
+1. Spellings become words; names written without blanks are parted at common words. The padded q-grams of a name's
+   telling words (all its words where none is rare) are its set.
+2. MinHash banding over the distinct sets; ``tune_bands`` picks rows and bands from the collision curve
+   1 - (1 - s^r)^b for a wanted recall at a wanted similarity. Sets that collide are compared exactly.
+3. Spellings with linked sets that share the initial of another word are candidates, verified by soft Monge-Elkan
+   similarity: words are matched to their best partner (equal, nickname, typing error, prefix, contraction, initial) and
+   weighted by rarity; what is left unmatched on the fuller side counts against, optional words little.
 4. Star clustering: spellings are ranked by completeness and use; a spelling that outranks all its free neighbours
-   becomes a star's centre, the others join their most similar centre. Rounds repeat until no spelling is free; edges
-   are a checkpointed table, nothing but counts reaches the driver.
+   becomes a star's centre, the others join their most similar centre. Rounds repeat until no edge is open; edges are a
+   checkpointed table, nothing but counts and the lexicon reaches the driver.
 
-Only distinct spellings take part, whatever the number of rows behind them, and pairs are formed between spellings
-that share a core token within one star only.
+Only distinct spellings take part, whatever the number of rows behind them.
 
-Defined cases: null and blank names are left out; spellings that parse to no core token are stars of their own; exact
-repeats are one spelling with a count; ties go to the smaller spelling by bytes; an empty table gives none.
+Defined cases: null and blank names are left out; a spelling without a word is a star of its own; exact repeats are
+one spelling with a count; ties go to the smaller spelling by bytes; an empty table gives none; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
 import re
 import unicodedata
-from collections.abc import Iterator
 from dataclasses import dataclass, field
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pandas as pd
@@ -37,57 +42,23 @@ from pyspark.sql import types as T
 
 from marquee.session import checkpointed
 
-Q, LINK, TOKEN_EDITS = 3, 0.86, 2
-
-#: Words that say what an organisation is, not which.
-KINDS = set(
-    "symphonic chamber jazz folk bluegrass opera ballet film poetry storytelling puppet quilting ceramics woodturning printmaking watercolor "
-    "historical botanical maritime railroad youth community improv early music cultural affairs county department friends saint".split()
-)
-ORGANISATIONS = set("society association guild league council alliance foundation festival orchestra players collective institute center museum workshop theatre company".split())
-OPTIONAL = {"company", "studio", "trio", "workshops"}
-STOP = set("the of and for a an in y de la".split())
-LEGAL = re.compile(r"(?:[,\s]+(?:inc|llc|ltd|corp)\.?|\s*\((?:501c3|nonprofit|non-profit)\)|\s+-\s+official)\s*$", re.I)
-TITLES = set("dr mr mrs ms prof rev".split())
-#: First names and their short forms.
+#: Similarity that links two spellings, q-gram length, and the Jaccard similarity from which two sets are looked at.
+LINK, Q, SETS_ALIKE = 0.8, 3, 0.3
+#: A common word stands in at least COMMON_LEAST spellings and COMMON_SHARE of them, and is not the rarest of its spelling
+#: in NOT_RAREST of them. An optional word was left out OPTIONAL_LEAST times and in OPTIONAL_SHARE of its spellings.
+COMMON_LEAST, COMMON_SHARE, NOT_RAREST, OPTIONAL_LEAST, OPTIONAL_SHARE = 4, 0.001, 0.6, 5, 0.05
+#: Weight of optional words and stray initials, and of telling words; a common word weighs ln(spellings / its spellings).
+LIGHT, TELLING, LONG = 0.3, 6.0, 6
+
+#: Function words.
+STOP = frozenset("the of and for a an in y de la".split())
+#: First names and their short forms; an optional table (pass {} to do without).
 NICKNAMES = {
     "richard": "dick rick rich", "elizabeth": "beth liz betsy lizzie eliza", "leonard": "len lenny leo", "theodore": "ted theo teddy", "katherine": "kate kit kathy katie",
     "antonio": "tony tono toni", "margaret": "maggie peggy meg", "patricia": "pat trish patty tricia", "henry": "hank harry hal", "william": "bill will billy liam", "robert": "bob rob bobby robbie",
     "dorothy": "dot dottie dolly dora", "gabriela": "gaby gabi", "francisca": "fran paca paquita francis", "josephine": "jo josie", "james": "jim jamie jimmy", "edward": "ed eddie ned ted",
     "zachary": "zack zach", "alexander": "alex sandy al xander", "susannah": "sue suzy susie sukey", "charles": "charlie chuck", "john": "jack johnny", "thomas": "tom tommy", "michael": "mike mick",
 }
-FIRST = {n: {f} for f in NICKNAMES for n in (f,)}
-for _f, _short in NICKNAMES.items():
-    for _n in _short.split():
-        FIRST.setdefault(_n, set()).add(_f)
-TYPED = KINDS | ORGANISATIONS | OPTIONAL
-#: Contractions and foreign forms that no rule below reaches.
-CONTRACTIONS = {"std": "studio", "thtr": "theatre", "theater": "theatre", "wkshp": "workshop", "wkshps": "workshops", "colectivo": "collective", "fdn": "foundation", "assn": "association"}
-_GLUE = sorted((TYPED - {"of"}) | {f for f in NICKNAMES} | {"of", "the", "and"}, key=len, reverse=True)
-
-
-@lru_cache(maxsize=200_000)
-def jaro_winkler(a: str, b: str) -> float:
-    if a == b:
-        return 1.0
-    la, lb = len(a), len(b)
-    if not la or not lb:
-        return 0.0
-    reach = max(la, lb) // 2 - 1
-    fa, fb, m = [False] * la, [False] * lb, 0
-    for i, c in enumerate(a):
-        for j in range(max(0, i - reach), min(lb, i + reach + 1)):
-            if not fb[j] and b[j] == c:
-                fa[i] = fb[j] = True
-                m += 1
-                break
-    if not m:
-        return 0.0
-    xs, ys = [c for c, f in zip(a, fa, strict=True) if f], [c for c, f in zip(b, fb, strict=True) if f]
-    t = sum(x != y for x, y in zip(xs, ys, strict=True)) / 2
-    jaro = (m / la + m / lb + (m - t) / m) / 3
-    prefix = next((i for i, (x, y) in enumerate(zip(a[:4], b[:4], strict=False)) if x != y), min(4, la, lb))
-    return jaro + 0.1 * prefix * (1 - jaro)
 
 
 @lru_cache(maxsize=200_000)
@@ -110,254 +81,182 @@ def edits(a: str, b: str, most: int = 3) -> int:
     return prev[-1]
 
 
-def typo(a: str, b: str) -> bool:
-    """A typing error apart: one edit in a short word, two in a longer one."""
+def _slip(a: str, b: str) -> int | None:
+    """Edits between two words if they may be one mistyped: one in a short word, two in a longer one."""
     n = min(len(a), len(b))
-    return n >= 4 and edits(a, b) <= (1 if n < 7 else 2)
-
-
-@lru_cache(maxsize=200_000)
-def word_similarity(a: str, b: str) -> float:
-    """1 equal, 0.95 typing error, 0.9 prefix, 0.85 contraction, 0.75 initial, else 0."""
-    if a == b:
-        return 1.0
-    if len(a) > len(b):
-        a, b = b, a
-    if len(a) == 1:
-        return 0.75 if a[0] == b[0] else 0.0
-    if typo(a, b):
-        return 0.95
-    if a[0] == b[0] and len(a) < len(b):
-        if b.startswith(a):
-            return 0.9
-        it = iter(b)
-        if len(a) <= 0.75 * len(b) and all(c in it for c in a):
-            return 0.85
-        if len(a) >= 3 and edits(a, b[: len(a)]) <= 1 and len(a) <= 0.7 * len(b):
-            return 0.8
-    return 0.9 if len(a) >= 6 and jaro_winkler(a, b) >= 0.9 else 0.0
+    most = 0 if n < 4 else 1 if n < 7 else 2
+    d = edits(a, b)
+    if d <= most:
+        return d
+    d = edits(a.rstrip("s"), b.rstrip("s"))
+    return d + 1 if n >= 7 and d <= most else None
 
 
-@dataclass
-class Name:
-    core: list[str] = field(default_factory=list)
-    words: list[str] = field(default_factory=list)
-    first: str = ""
-    initials: str = ""
-    extras: set[str] = field(default_factory=set)
-    person: bool = False
-    brief: bool = False  # no long core token
-    short: int = 0  # how many tokens are abbreviated or misspelled
-
-
-def _typed(token: str) -> str | None:
-    """The typed word that token stands for, if any."""
-    if token in TYPED:
-        return token
-    if len(token) >= 4:
-        near = [w for w in TYPED if abs(len(w) - len(token)) <= 2 and typo(token, w)]
-        if near:
-            return min(near, key=lambda w: (edits(token, w), w))
-    return None
-
-
-def _first(token: str) -> str | None:
-    if token in FIRST:
-        return token
-    if len(token) >= 4:
-        near = [w for w in FIRST if len(w) >= 4 and edits(token, w) <= (1 if len(w) < 7 else 2)]
-        if near:
-            return min(near, key=lambda w: (edits(token, w), w))
-    return None
-
-
-@lru_cache(maxsize=100_000)
-def parse(raw: str) -> Name:
+def plain_words(raw: str, unglue=None) -> list[str]:
+    """The words of a spelling in lower case without marks; capitals that stand for words become single letters."""
     s = "".join(c for c in unicodedata.normalize("NFKD", raw.replace("\xa0", " ").replace("_", " ")) if not unicodedata.combining(c)).strip()
-    while (t := LEGAL.sub("", s)) != s:
-        s = t
     s = re.sub(r"[\"“”][^\"“”]*[\"“”]", " ", s)
-    lead = re.match(r"^([A-Za-z]{2,5})\s+-\s+(.+)$", s)
-    initials, acronym = "", False
-    if lead and lead[1].isupper():
-        initials, s, acronym = lead[1].lower(), lead[2], True
+    if lead := re.match(r"^([A-Z]{2,5})\s+-\s+(.+)$", s, re.S):
+        s = ". ".join(lead[1]) + ". " + lead[2]
     if not re.search(r"\s", s):
         s = re.sub(r"(?<=[a-z])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])", " ", s)
-    if re.fullmatch(r"[A-Za-z']{12,}", s):
-        s = _unglue(s)
-    comma = "," in s
-    out = Name()
-    tokens = re.findall(r"[A-Za-z]+(?:'[A-Za-z]+)?\.?", re.sub(r"(?<=[A-Za-z])\.(?=[A-Za-z]\b)", ". ", s))
-    letters_in = [c for c in s if c.isalpha()]
-    upper_raw = sum(c.isupper() for c in letters_in) > 0.8 * len(letters_in)
-    letters_before_core, letters_after_core, seen_core = "", "", False
-    plain = []
-    for i, t in enumerate(tokens):
-        dotted = t.endswith(".")
-        w = t.rstrip(".").lower()
-        w = re.sub(r"'s$", "", w).replace("'", "")
-        if not w or w in TITLES:
-            continue
-        if len(w) == 1 or (len(w) <= 4 and t.rstrip(".").isupper() and not upper_raw and w not in FIRST and w not in STOP):
-            if seen_core:
-                letters_after_core += w
-            else:
-                letters_before_core += w
-            continue
-        if upper_raw and 2 <= len(w) <= 4 and not dotted and i == len(tokens) - 1 and len(tokens) == 2 and w not in FIRST:
-            letters_after_core += w
-            continue
-        if w in STOP and not (dotted and w == "the" and i > 0):
-            continue
-        if w == "st" and not seen_core:
-            w = "saint"
-        if w == "co":
-            w = "company" if plain and CONTRACTIONS.get(plain[-1][0], _typed(plain[-1][0])) == "theatre" else "county"
-        w = CONTRACTIONS.get(w, w)
-        plain.append((w, dotted))
-        typed = _typed(w)
-        if not (typed or _first(w) or dotted or (len(w) <= 5 and not _long(w))):
-            seen_core = True
-    for w, dotted in plain:
-        typed = _typed(w)
-        if typed in ("studio", "trio", "workshops") and w != "workshop":
-            out.extras.add(typed)
-        elif typed:
-            out.words.append(typed)
-            out.short += w != typed
-        elif (f := _first(w)) and not out.first and not dotted:
-            out.first = f
-            out.short += f != w
-        elif dotted or len(w) <= 4 or not _long(w):
-            out.words.append(w)
-            out.short += 1
-        else:
-            out.core.append(w)
-    if not out.core:
-        own = [w for w, dotted in plain if w in out.words and not dotted and not _typed(w) and not _abbreviates(w)]
-        out.core, out.words, out.brief = own, [w for w in out.words if w not in own], True
-        out.short -= len(own)
-    letters = letters_before_core + letters_after_core
-    person_letters = letters and not acronym and not out.words and not out.first and (bool(letters_before_core) or comma or len(letters) == 1)
-    out.person = bool((out.first and not out.words) or person_letters) and not (out.brief and len(out.core) > 1)
-    if out.person:
-        out.initials = letters
-        out.short += 2 if not out.first else len(out.first) < 5
-    else:
-        if out.first:
-            out.core.append(out.first)
-            out.first = ""
-        out.initials = initials or letters
-        out.short += 2 * bool(out.initials)
+    if unglue and re.fullmatch(r"[A-Za-z']{12,}", s):
+        s = unglue(s.lower())
+    letters = [c for c in s if c.isalpha()]
+    loud = sum(c.isupper() for c in letters) > 0.8 * len(letters)
+    out = []
+    for t in re.findall(r"[^\W_]+(?:'[^\W_]+)?\.?", re.sub(r"(?<=[A-Za-z])\.(?=[A-Za-z]\b)", ". ", s)):
+        w = re.sub(r"'s$", "", t.rstrip(".").lower()).replace("'", "")
+        if not loud and 2 <= len(w) <= 4 and t.rstrip(".").isupper() and w.isalpha():
+            out += list(w)
+        elif w:
+            out.append(w)
     return out
 
 
-def _unglue(s: str) -> str:
-    """A name written without spaces, parted at known words on either side and at a middle "and"."""
-    left, right, mid = [], [], s.lower()
-    while len(mid) > 5:
-        w = next((g for g in _GLUE if mid.startswith(g) and len(mid) - len(g) >= 5), None)
-        if w is None:
-            break
-        left.append(w)
-        mid = mid[len(w) :]
-    while len(mid) > 5:
-        w = next((g for g in _GLUE if len(g) > 3 and mid.endswith(g) and len(mid) - len(g) >= 5), None)
-        if w is None:
-            break
-        right.insert(0, w)
-        mid = mid[: -len(w)]
-    mid = re.sub(r"^([a-z]{6,}?)and([a-z]{6,})$", r"\1 and \2", mid)
-    return " ".join([*left, mid, *right]).title() if left or right else s
-
-
-def _long(w: str) -> bool:
-    return len(w) >= 6
-
-
-def _abbreviates(w: str) -> bool:
-    """w may be short for a typed word."""
-    return len(w) >= 3 and any(len(t) > len(w) and word_similarity(w, t) in (0.85, 0.9) for t in TYPED)
-
-
-def _edits_allowed(a: str, b: str) -> int:
-    n = min(len(a), len(b))
-    return TOKEN_EDITS if n >= 6 else 1 if n >= 4 else 0
-
-
-def _best(tokens: list[str], others: list[str]) -> float:
-    """Monge-Elkan: the mean over tokens of the best similarity to any of the others; 0 if one meets none."""
-    total = 0.0
-    for t in tokens:
-        s = max((word_similarity(t, o) for o in others), default=0.0)
-        if s == 0.0:
-            return 0.0
-        total += s
-    return total / len(tokens) if tokens else 1.0
-
-
-def _core_similarity(a: list[str], b: list[str], brief: bool = False) -> float:
-    if not a or not b or len(a) != len(b):
+@dataclass
+class Lexicon:
+    """What the distinct spellings say about words; small enough to travel with the tasks."""
+
+    common: dict[str, int] = field(default_factory=dict)
+    optional: frozenset[str] = STOP
+    spellings: int = 1
+    nicknames: dict[str, str] = field(default_factory=lambda: NICKNAMES)
+    _words: dict[tuple[str, str], float] = field(default_factory=dict, repr=False, compare=False)
+    _slips: dict[str, bool] = field(default_factory=dict, repr=False, compare=False)
+
+    @cached_property
+    def given(self) -> dict[str, set[str]]:
+        out: dict[str, set[str]] = {}
+        for name, short in self.nicknames.items():
+            for w in (name, *short.split()):
+                out.setdefault(w, set()).add(name)
+        return out
+
+    @cached_property
+    def _glue(self) -> list[str]:
+        return sorted((w for w in self.common if len(w) > 2 or w in STOP), key=lambda w: (-len(w), w))
+
+    @cached_property
+    def _long_common(self) -> list[str]:
+        return [w for w in self.common if len(w) >= 4]
+
+    def _part(self, s: str) -> str:
+        """A name written without blanks, parted at common words on either side and at a middle "and"."""
+        left, right = [], []
+        while len(s) > 5 and (w := next((g for g in self._glue if s.startswith(g) and len(s) - len(g) >= 5), None)):
+            left.append(w)
+            s = s[len(w) :]
+        while len(s) > 5 and (w := next((g for g in self._glue if len(g) > 3 and s.endswith(g) and len(s) - len(g) >= 5), None)):
+            right.insert(0, w)
+            s = s[: -len(w)]
+        return " ".join([*left, re.sub(r"^([a-z]{6,}?)and([a-z]{6,})$", r"\1 and \2", s), *right])
+
+    def words(self, raw: str) -> list[str]:
+        return plain_words(raw, self._part)
+
+    def telling(self, words: list[str]) -> list[str]:
+        """The words that tell a name from others, in order of spelling."""
+        rare = [w for w in words if w not in self.common]
+        return sorted([w for w in rare if len(w) >= LONG and not self._mistyped(w)] or [w for w in rare if len(w) > 1] or words)
+
+    def _mistyped(self, w: str) -> bool:
+        """w may be a common word mistyped."""
+        if w not in self._slips:
+            if len(self._slips) > 500_000:
+                self._slips.clear()
+            self._slips[w] = any(abs(len(w) - len(c)) <= 2 and _slip(w, c) is not None for c in self._long_common)
+        return self._slips[w]
+
+    def weight(self, w: str) -> float:
+        if len(w) == 1 or w in self.optional:
+            return LIGHT
+        return min(TELLING, math.log(max(self.spellings, 2) / self.common[w])) if w in self.common else TELLING
+
+    def initials(self, words: list[str], telling: list[str]) -> list[str]:
+        """Initials of the other words, those of nicknames' full names too."""
+        other = [w for w in words if w not in telling and w not in self.optional]
+        return sorted({w[0] for w in other} | {g[0] for w in other for g in self.given.get(w, ())}) or [""]
+
+    def quality(self, words: list[str]) -> int:
+        """Less for every initial and short uncommon word."""
+        return -sum(len(w) == 1 or (w not in self.common and len(w) < LONG) for w in words)
+
+    def word_similarity(self, a: str, b: str) -> float:
+        if (a, b) not in self._words:
+            if len(self._words) > 500_000:
+                self._words.clear()
+            self._words[a, b] = self._compare(*sorted((a, b), key=lambda w: (len(w), w)))
+        return self._words[a, b]
+
+    def _compare(self, a: str, b: str) -> float:
+        if a == b:
+            return 1.0
+        if len(a) == 1:
+            stray = len(b) == 1 or (b in self.optional and len(b) <= 3)
+            return 0.75 if not stray and (a == b[0] or any(g[0] == a for g in self.given.get(b, ()))) else 0.0
+        if self.given.get(a, set()) & self.given.get(b, set()):
+            return 0.95
+        if (d := _slip(a, b)) is not None:
+            return 1 - 0.04 * d
+        if b in self.common and a[0] == b[0] and len(a) < len(b):
+            if b.startswith(a):
+                return 0.9
+            rest = iter(b)
+            if len(a) <= 0.75 * len(b) and all(c in rest for c in a):
+                return 0.85
+            if len(a) >= 3 and len(a) <= 0.7 * len(b) and edits(a, b[: len(a)]) <= 1:
+                return 0.8
         return 0.0
-    free, total = list(b), 0.0
-    for t in a:
-        k = min(free, key=lambda o: (edits(t, o), o))
-        d = edits(t, k)
-        most = _edits_allowed(t, k) if brief else TOKEN_EDITS
-        if d > most and not (edits(t.rstrip("s"), k.rstrip("s")) <= most):
-            return 0.0
-        total += 1 - 0.03 * d
-        free.remove(k)
-    return total / len(a)
-
 
-def similarity(x: str, y: str) -> float:
-    """Monge-Elkan similarity of two spellings in [0, 1]; 0 where a part contradicts."""
-    a, b = parse(x), parse(y)
-    brief = a.brief or b.brief
-    core = _core_similarity(a.core, b.core, brief)
-    if not core or a.person != b.person:
-        return 0.0
-    if a.person:
-        fa, fb = (FIRST.get(n.first, set()) for n in (a, b))
-        if a.first and b.first:
-            if not fa & fb:
-                return 0.0
-            first = 1.0 if a.first == b.first else 0.95
-        else:
-            ia, ib = (n.first and {f[0] for f in FIRST[n.first]} | {n.first[0]} or set(n.initials[:1]) for n in (a, b))
-            if not set(ia) & set(ib):
-                return 0.0
-            first = 0.8
-        same = 0.02 * (bool(a.extras & b.extras) - bool(a.extras and b.extras and not a.extras & b.extras))
-        middle = 0.02 * (bool(a.first) and bool(b.first) and a.initials[:1] == b.initials[:1] != "")
-        return min(1.0, (2 * core + first) / 3 + same + middle)
-    if a.initials or b.initials:
-        if a.initials and b.initials:
-            return (core + 1) / 2 if sorted(a.initials) == sorted(b.initials) and not a.words and not b.words else 0.0
-        short, full = (a, b) if a.initials else (b, a)
-        if short.words:
+    def similarity(self, a: list[str], b: list[str]) -> float:
+        """Soft Monge-Elkan of two names' words: best partners first, weights of the lighter partner (a slip is no
+        rare word), of the full word where one is an initial; what both leave over contradicts."""
+        pairs = sorted(((s, -abs(i - j), i, j) for i, x in enumerate(a) for j, y in enumerate(b) if (s := self.word_similarity(x, y)) > 0), reverse=True)
+        mine, theirs, got, base = set(), set(), 0.0, 0.0
+        for s, _, i, j in pairs:
+            if i in mine or j in theirs:
+                continue
+            mine.add(i)
+            theirs.add(j)
+            w = (max if 1 in (len(a[i]), len(b[j])) else min)(self.weight(a[i]), self.weight(b[j]))
+            got, base = got + w * s, base + w
+        if not base:
             return 0.0
-        have = [w[0] for w in full.words]
-        need = [w[0] for w in full.words if w not in OPTIONAL]
-        got = sorted(short.initials)
-        if got not in (sorted(have), sorted(need)):
-            # saint and friends may stand for themselves or be left out of an acronym
-            bare = sorted(w[0] for w in full.words if w not in ("friends", "saint"))
-            if got != bare:
-                return 0.0
-            return 0.55 * core + 0.45 * 0.75
-        return 0.5 * core + 0.5 * 0.8 + 0.02
-    needed = lambda n: [w for w in n.words if w not in OPTIONAL]
-    if brief and not needed(a) and not needed(b):
-        # the core is the whole name; a single short word must be equal
-        return core if len(a.core) > 1 or a.core == b.core else 0.0
-    if not needed(a) or not needed(b) or abs(len(needed(a)) - len(needed(b))) > 0:
-        return 0.0
-    ab, ba = _best(needed(a), b.words), _best(needed(b), a.words)
-    if not ab or not ba:
-        return 0.0
-    return 0.5 * core + 0.25 * (ab + ba)
+        over = [[w for i, w in enumerate(words) if i not in used] for words, used in ((a, mine), (b, theirs))]
+        s = got / (base + max(sum(map(self.weight, o)) for o in over))
+        if all(any(len(w) > 1 and w not in self.optional for w in o) for o in over):
+            s *= 0.9
+        return s * 0.9 if all(any(len(w) == 1 for w in o) for o in over) else s
+
+
+def learn(names: DataFrame, nicknames: dict[str, str] | None = None) -> Lexicon:
+    """The lexicon of the distinct spellings in names (name)."""
+    split = F.pandas_udf(lambda s: pd.Series([plain_words(v) for v in s]), T.ArrayType(T.StringType()))
+    words = checkpointed(names.select("name", split("name").alias("w")))
+    n = words.count()
+    each = words.select("name", F.explode(F.array_distinct("w")).alias("w"))
+    df = each.groupBy("w").agg(F.count("*").alias("df"))
+    counted = each.join(df, "w")
+    low = counted.where(F.length("w") >= 4).groupBy("name").agg(F.min("df").alias("low"))
+    least = max(COMMON_LEAST, COMMON_SHARE * n)
+    judged = counted.where(F.col("df") >= least).join(low, "name").groupBy("w").agg(F.first("df").alias("df"), F.count_if(F.col("df") > F.col("low")).alias("other"))
+    common = {r["w"]: r["df"] for r in judged.where(F.col("other") >= NOT_RAREST * F.col("df")).select("w", "df").collect()}
+    lexicon = Lexicon(common, STOP, n, NICKNAMES if nicknames is None else nicknames)
+    parted = checkpointed(names.select("name", F.pandas_udf(lambda s: pd.Series([lexicon.words(v) for v in s]), T.ArrayType(T.StringType()))("name").alias("w")))
+    optional = set(STOP)
+    for turn in range(2):
+        # a word is left out where the other words of its spelling, without what is optional so far, are a spelling too
+        dropped = [w for w in optional]
+        kept = F.array_sort(F.filter("w", lambda x: ~x.isin(dropped) & ((F.length(x) > 1) if turn else F.lit(True))))
+        bags = parted.select(kept.alias("s")).where(F.size("s") > 0)
+        known = bags.select(F.xxhash64("s").alias("h")).distinct()
+        at = bags.select("s", F.posexplode("s").alias("i", "w")).where((F.array_position("s", F.col("w")) == F.col("i") + 1) & F.col("w").isin(list(common)) & (F.length("w") > 1))
+        rest = F.concat(F.slice("s", F.lit(1), F.col("i")), F.slice("s", F.col("i") + 2, F.size("s")))
+        out = at.select("w", F.when(F.size("s") > 2, F.xxhash64(rest)).alias("h")).join(known.withColumn("there", F.lit(1)), "h", "left")
+        share = out.groupBy("w").agg(F.count("*").alias("has"), F.count("there").alias("gone")).where((F.col("gone") >= OPTIONAL_LEAST) & (F.col("gone") >= OPTIONAL_SHARE * F.col("has")))
+        optional |= {r["w"] for r in share.collect()}
+    return Lexicon(common, frozenset(optional), n, lexicon.nicknames)
 
 
 def tune_bands(similarity_at: float, recall: float, rows: tuple[int, ...] = (2, 3, 4, 5), most: int = 64) -> tuple[int, int]:
@@ -374,8 +273,8 @@ def qgrams(token: str, q: int = Q) -> list[str]:
     return [padded[i : i + q] for i in range(len(padded) - q + 1)]
 
 
-def band_keys(token: str, rows: int, bands: int) -> list[int]:
-    h = np.array([xxhash.xxh64_intdigest(g) for g in set(qgrams(token))], dtype=np.uint64)
+def band_keys(words: str, rows: int, bands: int) -> list[int]:
+    h = np.array([xxhash.xxh64_intdigest(g) for g in gram_set(words)], dtype=np.uint64)
     seeds = np.array([xxhash.xxh64_intdigest(str(i), seed=7) | 1 for i in range(rows * bands)], dtype=np.uint64)
     with np.errstate(over="ignore"):
         mixed = h[:, None] * seeds[None, :]
@@ -384,91 +283,91 @@ def band_keys(token: str, rows: int, bands: int) -> list[int]:
     return [xxhash.xxh64_intdigest(low[b * rows : (b + 1) * rows].tobytes(), seed=b) - (1 << 63) for b in range(bands)]
 
 
-def deletion_keys(token: str) -> list[int]:
-    """Keys of a short token and its single deletions: any two within one edit or swap share one."""
-    if len(token) > 6:
-        return []
-    return [xxhash.xxh64_intdigest(t, seed=99) - (1 << 63) for t in {token, *(token[:i] + token[i + 1 :] for i in range(len(token)))}]
+def gram_set(words: str) -> set[str]:
+    """The padded q-grams of words separated by blanks."""
+    return {g for w in words.split(" ") for g in qgrams(w)}
 
 
-def parsed_names(names: DataFrame, col: str = "name") -> DataFrame:
-    """names with core (array of tokens) and quality (fewer abbreviations first)."""
-    schema = T.StructType([T.StructField("core", T.ArrayType(T.StringType())), T.StructField("quality", T.IntegerType())])
+def parsed_names(names: DataFrame, lexicon: Lexicon) -> DataFrame:
+    """names with words, telling (one string), initials and quality (fewer abbreviations first)."""
+    schema = T.StructType([T.StructField("words", T.ArrayType(T.StringType())), T.StructField("telling", T.StringType()), T.StructField("initials", T.ArrayType(T.StringType())), T.StructField("quality", T.IntegerType())])
 
     @F.pandas_udf(schema)
     def run(s: pd.Series) -> pd.DataFrame:
-        got = [parse(v) for v in s]
-        # a short word such as "art" is looked up only where the name has no longer one
-        core = [[t for t in p.core if len(t) >= 4] or p.core if p.brief else p.core for p in got]
-        return pd.DataFrame({"core": core, "quality": [-p.short for p in got]})
+        rows = []
+        for v in s:
+            w = lexicon.words(v)
+            t = lexicon.telling(w)
+            rows.append((w, " ".join(t), lexicon.initials(w, t), lexicon.quality(w)))
+        return pd.DataFrame(rows, columns=["words", "telling", "initials", "quality"])
 
-    return names.withColumn("p", run(F.col(col))).select("*", "p.*").drop("p")
+    return names.withColumn("p", run("name")).select("*", "p.*").drop("p")
 
 
-def token_links(tokens: DataFrame, rows: int, bands: int) -> DataFrame:
-    """(t, u): distinct tokens that are the same or within TOKEN_EDITS of one another, found through shared bands."""
+def set_links(sets: DataFrame, rows: int, bands: int) -> DataFrame:
+    """(t, u), both ways and with itself: distinct telling words whose q-gram sets are alike, found through shared bands."""
 
     @F.pandas_udf(T.ArrayType(T.LongType()))
     def keys(s: pd.Series) -> pd.Series:
-        return pd.Series([band_keys(t, rows, bands) + deletion_keys(t) for t in s])
+        return pd.Series([band_keys(t, rows, bands) for t in s])
 
     @F.pandas_udf(T.BooleanType())
-    def near(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([edits(x, y) <= TOKEN_EDITS or edits(x.rstrip("s"), y.rstrip("s")) <= TOKEN_EDITS for x, y in zip(a, b, strict=True)])
+    def alike(a: pd.Series, b: pd.Series) -> pd.Series:
+        grams = {t: gram_set(t) for t in {*a, *b}}
+        return pd.Series([len(grams[x] & grams[y]) >= SETS_ALIKE * len(grams[x] | grams[y]) for x, y in zip(a, b, strict=True)])
 
-    banded = checkpointed(tokens.select("t", F.explode(keys("t")).alias("k")))
+    banded = checkpointed(sets.select("t", F.explode(keys("t")).alias("k")))
     pairs = banded.alias("a").join(banded.alias("b"), "k").where("a.t < b.t").select(F.col("a.t").alias("t"), F.col("b.t").alias("u")).distinct()
-    close = pairs.where(F.abs(F.length("t") - F.length("u")) <= TOKEN_EDITS + 1).where(near("t", "u"))
-    return close.unionByName(close.select(F.col("u").alias("t"), F.col("t").alias("u"))).unionByName(tokens.select("t", F.col("t").alias("u")))
+    close = pairs.where(alike("t", "u"))
+    both = close.select(F.explode(F.array(F.struct("t", "u"), F.struct(F.col("u").alias("t"), F.col("t").alias("u")))).alias("p")).select("p.t", "p.u")
+    return both.unionByName(sets.select("t", F.col("t").alias("u")))
 
 
-def verified_edges(names: DataFrame, recall: float = 0.97) -> DataFrame:
-    """(a, b, sim), a < b: spellings that name the same; names has name, n, core, quality."""
-    rows, bands = tune_bands(0.42, recall)
-    cored = names.select("name", F.explode(F.array_distinct("core")).alias("t"))
-    links = token_links(cored.select("t").distinct(), rows, bands)
-    mine = cored.join(links, "t").select(F.col("u"), F.col("name").alias("a"))
-    pairs = mine.join(cored.select(F.col("t").alias("u"), F.col("name").alias("b")), "u").where("a < b").select("a", "b").distinct()
+def verified_edges(names: DataFrame, lexicon: Lexicon, recall: float = 0.97) -> DataFrame:
+    """(a, b, sim), a < b: spellings that name the same; names as parsed_names gives them."""
+    rows, bands = tune_bands(0.36, recall)
+    there = names.where("telling != ''")
+    links = set_links(there.select(F.col("telling").alias("t")).distinct(), rows, bands)
+    keyed = there.select("name", F.col("telling").alias("t"), F.explode("initials").alias("i"))
+    mine = keyed.join(links, "t").select("u", "i", F.col("name").alias("a"))
+    pairs = mine.join(keyed.select(F.col("t").alias("u"), "i", F.col("name").alias("b")), ["u", "i"]).where("a < b").select("a", "b").distinct()
 
     @F.pandas_udf(T.DoubleType())
     def sim(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([similarity(x, y) for x, y in zip(a, b, strict=True)])
+        words = {v: lexicon.words(v) for v in {*a, *b}}
+        return pd.Series([lexicon.similarity(words[x], words[y]) for x, y in zip(a, b, strict=True)])
 
     return pairs.withColumn("sim", sim("a", "b")).where(F.col("sim") >= LINK)
 
 
-def stars(names: DataFrame, edges: DataFrame, most_rounds: int = 50) -> DataFrame:
-    """(name, centre) by rounds of star clustering over checkpointed edges."""
+def stars(names: DataFrame, edges: DataFrame) -> DataFrame:
+    """(name, centre) by rounds of star clustering over checkpointed edges. The best of what is free becomes a centre in
+    every round, so the rounds end."""
     rank = F.struct("quality", "n", F.hex(F.encode("name", "UTF-8")).alias("x"))
-    ranked = names.select("name", rank.alias("rank"))
-    both = edges.select("a", "b", "sim").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "sim"))
+    ranked = checkpointed(names.select("name", rank.alias("rank")))
+    ends = F.array(F.struct("a", "b", "sim"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"), "sim"))
+    both = edges.select(F.explode(ends).alias("e")).select("e.*")
     both = both.join(ranked.select(F.col("name").alias("a"), F.col("rank").alias("ra")), "a").join(ranked.select(F.col("name").alias("b"), F.col("rank").alias("rb")), "b")
     open_edges = checkpointed(both)
-    out = None
-    for _ in range(most_rounds):
+    out = ranked.select("name", F.col("name").alias("centre")).where("false")
+    while not open_edges.isEmpty():
         # a free spelling that no free neighbour outranks is a centre; its neighbours join the most similar centre
         top = open_edges.groupBy("a").agg(F.max("rb").alias("top"), F.first("ra").alias("ra")).where(F.col("ra") > F.col("top")).select(F.col("a").alias("c"))
         joins = open_edges.join(top, F.col("b") == F.col("c"), "left_semi").groupBy("a").agg(F.max_by("b", F.struct("sim", "rb")).alias("centre")).withColumnRenamed("a", "name")
-        done = joins.unionByName(top.select(F.col("c").alias("name"), F.col("c").alias("centre")))
-        done = checkpointed(done)
-        if done.isEmpty():
-            break
-        out = done if out is None else out.unionByName(done)
+        done = checkpointed(joins.unionByName(top.select(F.col("c").alias("name"), F.col("c").alias("centre"))))
+        out = out.unionByName(done)
         gone = done.select(F.col("name").alias("g"))
         open_edges = checkpointed(open_edges.join(gone, F.col("a") == F.col("g"), "left_anti").join(gone, F.col("b") == F.col("g"), "left_anti"))
-        if open_edges.isEmpty():
-            break
-    single = names.select("name")
-    if out is None:
-        return single.withColumn("centre", F.col("name"))
-    return single.join(out, "name", "left").withColumn("centre", F.coalesce("centre", "name"))
+    return ranked.select("name").join(out, "name", "left").withColumn("centre", F.coalesce("centre", "name"))
 
 
-def classes(spellings: DataFrame, col: str) -> DataFrame:
+def classes(spellings: DataFrame, col: str, nicknames: dict[str, str] | None = None) -> DataFrame:
     """(name, n, centre): every distinct spelling of col, its uses and its star."""
     counted = spellings.where(F.col(col).isNotNull() & (F.trim(F.regexp_replace(col, "\\x{A0}", " ")) != "")).groupBy(F.col(col).alias("name")).agg(F.count("*").alias("n"))
-    names = checkpointed(parsed_names(counted))
-    return stars(names, verified_edges(names)).join(names.select("name", "n"), "name")
+    counted = checkpointed(counted)
+    lexicon = learn(counted, nicknames)
+    names = checkpointed(parsed_names(counted, lexicon))
+    return stars(names, verified_edges(names, lexicon)).join(names.select("name", "n"), "name")
 
 
 def pairs_of(classes_df: DataFrame) -> DataFrame:
