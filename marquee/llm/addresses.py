@@ -4,10 +4,12 @@
    venue; units and floors are dropped. A missing town is filled from the postcode's usual town (at most 100 000 five
    digit codes, so that table may be broadcast).
 2. Equal parses become one *form*; only forms are compared, however many records stand behind one.
-3. Blocking: forms meet on (number, street sound), (number, town), (number, venue) or (venue, town); the pairs of a
-   block are formed over forms, not records.
-4. Comparison vectors have agreement levels per component, a missing value being a level of its own. Their counts (a
-   few hundred patterns at most) give m and u probabilities by expectation-maximisation (Fellegi and Sunter; Winkler).
+3. Blocking: forms meet on (number, street sound, town sound), (number, town) or (number, venue); forms without a town
+   ask for (number, street sound), forms without an address for (venue, town). Pairs are formed over forms, not records,
+   and a form that has all its parts never asks for more than its own building's surroundings.
+4. Comparison vectors have agreement levels per component, a missing value being a level of its own. Their counts (at
+   most 972 patterns) give m and u probabilities, those of the missing levels too, by expectation-maximisation (Fellegi
+   and Sunter; Winkler), apart for pairs with an address on both sides and pairs without.
 5. Pairs whose posterior exceeds ``POSTERIOR`` are links. A form that lacks the address or the place takes over the
    links of its most probable whole form; record pairs are links expanded by the forms' members.
 
@@ -31,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from marquee.llm.names import edits
+from marquee.llm.names import edits, stars
 from marquee.session import checkpointed
 
 #: Words of street kinds, directions, ordinals and place prefixes with their short forms.
@@ -192,12 +194,15 @@ LEVELS = {
     "area": ("agree", "missing", "differ"),
     "venue": ("agree", "missing", "differ"),
 }
-POSTERIOR, EM_ROUNDS = 0.5, 60
+POSTERIOR, EM_ROUNDS = 0.5, 80
 #: The starting values count as this many pairs, so that a handful of pairs cannot bend the estimates.
 PRIOR_PAIRS = 20.0
-#: A building is its number, street with kind and direction, and town: among matches these differ by gross slips only.
-#: Without this bound EM takes neighbours (one street and number in two towns) for the latent class of matches.
-DEFINING, SLIP = ("number", "street", "kind", "direction", "area"), 0.001
+#: What makes a building: pairs that agree in all of these are one whatever their venues are called.
+DEFINING = ("number", "street", "kind", "direction", "area")
+#: Where the starting values put agreement: of present values, among matches (in what defines a building, in the rest)
+#: and among non-matches (in what most blocks share, in the rest).
+START_DEFINING, START_M, START_BLOCKED, START_U = 0.999, 0.95, 0.9, 0.25
+BLOCKED = ("number", "area")
 
 
 def _near(a: str, b: str) -> bool:
@@ -280,47 +285,46 @@ class Weights:
 
 
 def expectation_maximisation(counts: dict[str, int], rounds: int = EM_ROUNDS) -> Weights:
-    """Latent-class EM over pattern counts. Missing levels carry no evidence: whether a value is missing doesn't
-    depend on the pair's being a match, so m and u of the missing level are kept equal."""
+    """Latent-class EM over pattern counts. Every level's m and u are estimated, the missing level's too."""
     patterns = sorted(counts)
     n = np.array([counts[p] for p in patterns], dtype=float)
     x = np.array([[int(c) for c in p] for p in patterns]).reshape(len(patterns), len(LEVELS))
-    names = list(LEVELS)
-    missing = [LEVELS[k].index("missing") for k in names]
     m, u = [], []
-    for k, name in enumerate(names):
-        size = len(LEVELS[name])
-        gap = float(n[x[:, k] == missing[k]].sum() / max(n.sum(), 1))
-        gap = min(max(gap, 0.01), 0.98)
-        for target, lean in ((m, 0.9), (u, 0.2)):
-            p = np.full(size, 0.0)
-            good = [i for i, lv in enumerate(LEVELS[name]) if lv in ("agree", "typo")]
-            bad = [i for i, lv in enumerate(LEVELS[name]) if lv == "differ"]
-            lean = 1 - SLIP if target is m and name in DEFINING else lean
-            p[good], p[bad], p[missing[k]] = (1 - gap) * lean / len(good), (1 - gap) * (1 - lean) / len(bad), gap
+    for k, (name, levels) in enumerate(LEVELS.items()):
+        gap = min(max(float(n[x[:, k] == levels.index("missing")].sum() / max(n.sum(), 1)), 0.01), 0.98)
+        good = [i for i, lv in enumerate(levels) if lv in ("agree", "typo")]
+        for target, lean in ((m, START_DEFINING if name in DEFINING else START_M), (u, START_BLOCKED if name in BLOCKED else START_U)):
+            p = np.full(len(levels), (1 - gap) * (1 - lean))
+            p[good], p[levels.index("missing")] = (1 - gap) * lean / len(good), gap
             target.append(p)
     w = Weights(m, u, 0.5)
     start = [[p.copy() for p in m], [p.copy() for p in u]]
-    if not patterns:
-        return w
-    for _ in range(rounds):
+    for _ in range(rounds if patterns else 0):
         post = np.array([w.posterior(p) for p in patterns])
         for target, weight, prior in ((w.m, n * post, start[0]), (w.u, n * (1 - post), start[1])):
-            for k, name in enumerate(names):
-                gap = target[k][missing[k]]
-                p = np.array([weight[x[:, k] == lv].sum() for lv in range(len(LEVELS[name]))]) + PRIOR_PAIRS * prior[k]
-                p[missing[k]] = 0.0
-                p = p / p.sum()
-                if target is w.m and name in DEFINING:
-                    bad = LEVELS[name].index("differ")
-                    p[bad] = min(p[bad], SLIP)
-                    p = p / p.sum()
-                target[k] = p * (1 - gap)
-                target[k][missing[k]] = gap
+            for k in range(len(LEVELS)):
+                p = np.array([weight[x[:, k] == lv].sum() for lv in range(len(prior[k]))]) + PRIOR_PAIRS * prior[k]
+                target[k] = p / p.sum()
         w.share = float(min(max(((n * post).sum() + PRIOR_PAIRS / 2) / (n.sum() + PRIOR_PAIRS), 0.001), 0.999))
     return w
 
 
+def has_address(pattern: str) -> bool:
+    """Both sides of the pair have a number and a street."""
+    return pattern[0] != "1" and pattern[1] != "2"
+
+
+def posteriors(counts: dict[str, int]) -> dict[str, float]:
+    """The posterior of every pattern. Pairs with an address on both sides and pairs without are estimated apart: in one
+    mixture the two classes that EM finds would be those with and without an address."""
+    out = {}
+    for whole in (True, False):
+        mine = {p: c for p, c in counts.items() if has_address(p) == whole}
+        w = expectation_maximisation(mine)
+        out |= {p: w.posterior(p) for p in mine}
+    return {p: 1.0 if p[: len(DEFINING)] == "0" * len(DEFINING) else q for p, q in out.items()}
+
+
 def parsed(df: DataFrame, id_col: str, address_col: str, venue_col: str, city_col: str) -> DataFrame:
     """(rid, number ... venue) of every record."""
     schema = T.StructType([T.StructField(f, T.StringType()) for f in FIELDS])
@@ -346,36 +350,56 @@ def parsed(df: DataFrame, id_col: str, address_col: str, venue_col: str, city_co
 
 
 def forms(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(forms with their number fid, members (rid, fid)). fid is a hash of the parse, stable under lost executors."""
+    """(forms with their number fid, members (rid, fid)). fid is a 64-bit hash of the parse, stable under lost executors."""
     parts = [F.coalesce(F.col(f), F.lit("")) for f in FIELDS]
     usable = (F.col("number").isNotNull() & F.col("street").isNotNull()) | (F.col("venue").isNotNull() & F.col("town").isNotNull())
-    keyed = rows.where(usable).withColumn("fid", F.md5(F.concat_ws("|", *parts)))
+    keyed = rows.where(usable).withColumn("fid", F.xxhash64(F.concat_ws("|", *parts)))
     return keyed.dropDuplicates(["fid"]).select("fid", *FIELDS), keyed.select("rid", "fid")
 
 
+def block_keys(number: str | None, street: str | None, town: str | None, venue: str | None) -> tuple[list[str], list[str], list[str]]:
+    """(shared, needed, offered) keys of a form. Forms meet on an equal shared key, or where one needs what another
+    offers: only forms without a town ask for all towns, only forms without an address ask by venue and town. A typing
+    error leaves the sound, the start or the end of a word as it is."""
+    shared, needed, offered = [], [], []
+    vk = venue_key(venue, town)
+    name = venue_name(venue, town) if venue else None
+    if number and street:
+        at = f"{number}|{sound(street)}"
+        if town:
+            shared += [f"a|{at}|{sound(town)}", f"b|{number}|{street[:4]}|{town[:4]}", f"c|{number}|{street[-4:]}|{town[-4:]}"]
+        else:
+            needed += [f"z|{at}", f"y|{at}|{name[:4]}" if name else f"x|{at}"]
+        offered += [f"x|{at}", f"y|{at}|{name[:4]}" if name else f"z|{at}"]
+    if number and town:
+        shared.append(f"t|{number}|{town}")
+    if number and vk:
+        shared.append(f"v|{number}|{vk[:6]}")
+    if vk and town:
+        core = max(town.split(), key=len)
+        by_venue = [f"w0|{sound(name)}|{core[:5]}", f"w1|{name[:4]}|{sound(core)}", f"w2|{sound(name)}|{core[-5:]}", f"w3|{name[:5]}|{core[:5]}", f"w4|{name[-5:]}|{sound(core)}"]
+        offered += by_venue
+        if not (number and street):
+            needed += by_venue
+    unique = lambda x: list(dict.fromkeys(x))
+    return unique(shared), unique(needed), unique(offered)
+
+
 def candidates(form_rows: DataFrame) -> DataFrame:
     """(a, b) with a < b: distinct forms that share a block."""
+    keys_type = T.StructType([T.StructField(n, T.ArrayType(T.StringType())) for n in ("shared", "needed", "offered")])
+
+    @F.pandas_udf(keys_type)
+    def keys(number: pd.Series, street: pd.Series, town: pd.Series, venue: pd.Series) -> pd.DataFrame:
+        text = lambda v: v if isinstance(v, str) else None
+        return pd.DataFrame([block_keys(*map(text, r)) for r in zip(number, street, town, venue, strict=True)], columns=["shared", "needed", "offered"])
 
-    @F.pandas_udf(T.ArrayType(T.StringType()))
-    def keys(number: pd.Series, street: pd.Series, town: pd.Series, venue: pd.Series) -> pd.Series:
-        out = []
-        for n, s, t, v in zip(number, street, town, venue, strict=True):
-            k = [f"s|{n}|{sound(s)}", f"p|{n}|{s[:4]}", f"e|{n}|{s[-4:]}"] if n and s else []
-            k += [f"t|{n}|{t}"] if n and t else []
-            vk = venue_key(v, t)
-            k += [f"v|{n}|{vk[:6]}"] if n and vk else []
-            # a typing error leaves one end of the venue's own name and one end of the town's as they are; what all
-            # venues of a kind or all ports share is no part of a key
-            if vk and t:
-                name = venue_name(v, t)
-                core = max(t.split(), key=len)
-                k += [f"w|{i}{j}|{x}|{y}" for i, x in enumerate((name[:4], name[-4:])) for j, y in enumerate((core[:5], core[-5:]))]
-            out.append(list(dict.fromkeys(k)))
-        return pd.Series(out)
-
-    blocked = checkpointed(form_rows.select("fid", F.explode(keys("number", "street", "town", "venue")).alias("k")))
-    a, b = blocked.select("k", F.col("fid").alias("a")), blocked.select("k", F.col("fid").alias("b"))
-    return a.join(b, "k").where("a < b").select("a", "b").distinct()
+    keyed = checkpointed(form_rows.select("fid", keys("number", "street", "town", "venue").alias("k")))
+    # keys travel as 64-bit hashes: two keys of one hash only add a candidate
+    side = lambda kind, name: keyed.select(F.col("fid").alias(name), F.explode(F.transform(f"k.{kind}", lambda x: F.xxhash64(x))).alias("h"))
+    same = side("shared", "a").join(side("shared", "b"), "h").where("a < b").select("a", "b")
+    asked = side("needed", "a").join(side("offered", "b"), "h").where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    return same.unionByName(asked).distinct()
 
 
 def links(form_rows: DataFrame) -> DataFrame:
@@ -390,9 +414,8 @@ def links(form_rows: DataFrame) -> DataFrame:
     pairs = candidates(form_rows).join(side("a"), "a").join(side("b"), "b").select("a", "b", vector("fa", "fb").alias("pattern"))
     pairs = checkpointed(pairs)
     counts = {r["pattern"]: r["count"] for r in pairs.groupBy("pattern").count().collect()}
-    weights = expectation_maximisation(counts)
-    table = [(p, float(weights.posterior(p))) for p in counts]
-    scored = F.broadcast(pairs.sparkSession.createDataFrame(table, "pattern string, posterior double"))
+    table = [(p, float(q)) for p, q in posteriors(counts).items()]
+    scored = F.broadcast(pairs.sparkSession.createDataFrame(table, "pattern string, posterior double"))  # 972 patterns at most
     return pairs.join(scored, "pattern").where(F.col("posterior") > POSTERIOR).select("a", "b", "pattern", "posterior")
 
 
@@ -420,14 +443,33 @@ def inherited(form_rows: DataFrame, linked: DataFrame) -> DataFrame:
     return more.where(agrees("fa", "fc")).select(F.least("a", "c").alias("a"), F.greatest("a", "c").alias("b"))
 
 
-def same_place(df: DataFrame, id_col: str, address_col: str = "address", venue_col: str = "venue", city_col: str = "city") -> DataFrame:
-    """(id_a, id_b): every two records of one place, smaller id first."""
-    rows = checkpointed(parsed(df, id_col, address_col, venue_col, city_col))
-    form_rows, members = forms(rows)
+def _form_links(df: DataFrame, id_col: str, address_col: str, venue_col: str, city_col: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(forms, members, links between different forms)."""
+    form_rows, members = forms(checkpointed(parsed(df, id_col, address_col, venue_col, city_col)))
     form_rows = checkpointed(form_rows)
-    within = form_rows.select(F.col("fid").alias("a"), F.col("fid").alias("b"))
     found = checkpointed(links(form_rows).select("a", "b", "posterior"))
-    linked = within.unionByName(found.select("a", "b")).unionByName(inherited(form_rows, found)).distinct()
+    more = inherited(form_rows, found).withColumn("posterior", F.lit(POSTERIOR))
+    return form_rows, members, found.unionByName(more).groupBy("a", "b").agg(F.max("posterior").alias("posterior"))
+
+
+def place_classes(df: DataFrame, id_col: str, address_col: str = "address", venue_col: str = "venue", city_col: str = "city") -> DataFrame:
+    """(id_col, place): every record with the class of its building, one row a record whatever the classes' sizes. Classes
+    are stars of forms: the fullest form of a place is its centre, the others join their most probable centre. Records
+    that name no place are left out."""
+    form_rows, members, linked = _form_links(df, id_col, address_col, venue_col, city_col)
+    filled = sum((F.col(f).isNotNull().cast("int") for f in FIELDS), F.lit(0))
+    size = members.groupBy("fid").agg(F.count("*").alias("n"))
+    named = form_rows.join(size, "fid").select(F.lpad(F.hex("fid"), 16, "0").alias("name"), "n", filled.alias("quality"))
+    edges = linked.select(F.lpad(F.hex("a"), 16, "0").alias("a"), F.lpad(F.hex("b"), 16, "0").alias("b"), F.col("posterior").alias("sim"))
+    return members.select(F.col("rid").alias(id_col), F.lpad(F.hex("fid"), 16, "0").alias("name")).join(stars(named, edges), "name").select(id_col, F.col("centre").alias("place"))
+
+
+def same_place(df: DataFrame, id_col: str, address_col: str = "address", venue_col: str = "venue", city_col: str = "city") -> DataFrame:
+    """(id_a, id_b): every two records of one place, smaller id first. Its size grows with the square of a building's
+    records; place_classes has the same knowledge in one row a record."""
+    form_rows, members, linked = _form_links(df, id_col, address_col, venue_col, city_col)
+    within = form_rows.select(F.col("fid").alias("a"), F.col("fid").alias("b"))
     ma, mb = members.select(F.col("fid").alias("a"), F.col("rid").alias("x")), members.select(F.col("fid").alias("b"), F.col("rid").alias("y"))
-    pairs = linked.join(ma, "a").join(mb, "b").where((F.col("a") != F.col("b")) | (F.col("x") < F.col("y")))
-    return pairs.select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b")).where("id_a < id_b").distinct()
+    pairs = within.unionByName(linked.select("a", "b")).join(ma, "a").join(mb, "b").where((F.col("a") != F.col("b")) | (F.col("x") < F.col("y")))
+    # a record has one form, so no pair comes twice
+    return pairs.select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))

@@ -62,6 +62,11 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return addresses.same_place(hints, "hint_id").select(F.col("id_a").alias("hint_id_a"), F.col("id_b").alias("hint_id_b"))
 
 
+def p1_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(hint_id, place): every hint that names a place with the class of its building."""
+    return addresses.place_classes(read_table(spark, sf_dir, "location_hints").select("hint_id", "address", "venue", "city"), "hint_id")
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(extracted_id) of every record that holds residue, filler or error text in place of event content."""
     return residue.records(read_table(spark, sf_dir, "extracted_events"), "extracted_id", ["title", "description"]).select("extracted_id")
@@ -88,7 +93,7 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.find_leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "eval_items")).select("doc_id", "item_id")
 
 
-QUERIES = {"p9_chosen": p9_chosen, "p9_shares": p9_shares, "p1_found": p1_found, "p5_found": p5_found, "p5_classes": p5_classes, "p2_found": p2_found, "p8_found": p8_found, "p10_found": p10_found, "p10_rates": p10_rates, "p6_found": p6_found, "p6_survivors": p6_survivors}
+QUERIES = {"p9_chosen": p9_chosen, "p9_shares": p9_shares, "p1_found": p1_found, "p1_classes": p1_classes, "p5_found": p5_found, "p5_classes": p5_classes, "p2_found": p2_found, "p8_found": p8_found, "p10_found": p10_found, "p10_rates": p10_rates, "p6_found": p6_found, "p6_survivors": p6_survivors}
 
 
 def _sql(pattern: str) -> str:
