@@ -14,7 +14,8 @@ of one text are no evidence about each other:
   field limits; a text of exactly such a length was cut whatever its end.
 
 Defined cases: null or blank text is no case; a null source is a source of its own; repeated rows and texts are judged
-alike; an empty table gives none; extra columns pass through; names ``cut_*`` and ``__*`` belong to the operator.
+alike; an empty table gives none; extra columns pass through, the text itself does not (the texts are read twice, once
+for the vocabulary and once for all else, and never shuffled); names ``cut_*`` and ``__*`` belong to the operator.
 """
 
 from __future__ import annotations
@@ -22,6 +23,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from marquee.functions.temporal import let
+from marquee.session import checkpointed
+
 WORD = r"\p{L}[\p{L}\p{M}]*"
 END = r"(?:[.!?。][\"”’'»)\]]*)$"
 #: A limit's length holds at least LIMIT_LEAST texts, LIMIT_TIMES as many as any length within LIMIT_NEAR and as the
@@ -36,10 +40,10 @@ def _segments(text: Column) -> Column:
     return F.filter(F.split(text, r"\s*\n\s*|(?<!\b\p{Lu}\.)(?<=[.!?。][\"”’'»)\]]{0,2})\s+(?=[\p{Lu}\p{N}\"“‘'«(\[#—])"), lambda s: s != "")
 
 
-def _opening(segment: Column) -> tuple[Column, Column]:
-    words = F.split(F.lower(segment), r"\s+")
-    plain = lambda c: F.regexp_replace(F.coalesce(c, F.lit("")), r"\d+", "9")
-    return plain(F.get(words, F.lit(0))), plain(F.get(words, F.lit(1)))
+def _opening(segment: Column) -> Column:
+    """struct(w1, w2, two): hashes of a segment's first word and first two words, digits alike, and whether it has two."""
+    plain = lambda c: F.regexp_replace(F.lower(c), r"\d+", "9")
+    return let(F.split(segment, r"\s+", 3), lambda w: F.struct(F.xxhash64(plain(w[0])).alias("w1"), F.xxhash64(plain(w[0]), plain(F.coalesce(F.get(w, F.lit(1)), F.lit("")))).alias("w2"), (F.coalesce(F.get(w, F.lit(1)), F.lit("")) != "").alias("two")))
 
 
 def known_words(docs: DataFrame, text: str) -> DataFrame:
@@ -56,12 +60,10 @@ def cut_words(tokens: DataFrame, words: DataFrame) -> DataFrame:
     return unknown.join(nodes, "w", "left_semi")
 
 
-def limits(docs: DataFrame, source: str, text: str) -> DataFrame:
-    """(source, unit, length, n): the lengths at which a source's field ends."""
-    t = F.rtrim(F.col(text))
-    ends_open = (~t.rlike(END) | t.rlike(r"(?:\.\.+|…)$")).cast("int")
-    units = F.array(F.struct(F.lit("chars").alias("unit"), F.length(text).alias("length")), F.struct(F.lit("bytes").alias("unit"), F.octet_length(text).alias("length")))
-    texts = docs.select(F.col(source).alias("source"), F.xxhash64(text).alias("h"), ends_open.alias("o"), units.alias("u")).distinct()
+def limits(texts: DataFrame) -> DataFrame:
+    """(source, unit, length, n): the lengths at which a source's field ends; texts has source, h, o (ends open), chars, bytes."""
+    units = F.array(F.struct(F.lit("chars").alias("unit"), F.col("chars").alias("length")), F.struct(F.lit("bytes").alias("unit"), F.col("bytes").alias("length")))
+    texts = texts.select("source", "h", F.col("o").cast("int").alias("o"), units.alias("u")).distinct()
     lengths = texts.select("source", "o", F.inline("u"))
     counts = lengths.groupBy("source", "unit", "length").agg(F.count("*").alias("n"), F.avg("o").alias("open"))
     at = F.sequence(F.col("length") - LIMIT_SPAN, F.col("length") + LIMIT_SPAN)
@@ -79,54 +81,59 @@ def limits(docs: DataFrame, source: str, text: str) -> DataFrame:
     return found.groupBy("source", F.col("at").alias("length")).agg(binding).select("source", "b.unit", "length", "b.n")
 
 
-def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """docs with cut (boolean) and cut_reason: inside_word, inside_sentence, at_limit or null."""
+def marked(docs: DataFrame, text_col: str, source_col: str) -> DataFrame:
+    """docs without the text, with all that judging needs of it: one pass over the texts, written once."""
     text = F.rtrim(F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), r"\r\n?", "\n"))
-    base = docs.withColumn("__t", text)
-    # openings over all segments of all distinct texts; a text's hash and place stand for the segment
-    seg = base.where("__t != ''").select(F.xxhash64("__t").alias("h"), F.posexplode(_segments(F.col("__t"))).alias("at", "s"))
-    w1, w2 = _opening(F.col("s"))
-    closed = F.col("s").rlike(END)
-    openings = seg.select("h", "at", w1.alias("w1"), w2.alias("w2"), closed.cast("int").alias("c")).distinct().groupBy("w1", "w2").agg(F.sum("c").alias("closed"), (F.count("*") - F.sum("c")).alias("open"))
+
+    def read(t: Column) -> Column:
+        return let(F.struct(t.alias("t"), _segments(t).alias("s")), flags)
+
+    def flags(x: Column) -> Column:
+        t, last = x["t"], F.try_element_at(x["s"], F.lit(-1))
+        dots = t.rlike(r"(?:\.\.+|…)$")
+        is_open = (t != "") & (~t.rlike(END) | dots)
+        return F.struct(
+            (t == "").alias("blank"), F.xxhash64(t).alias("h"), is_open.alias("open"), dots.alias("dots"), _opening(last).alias("last"), F.when(is_open, F.endswith(F.concat(F.lit("\n"), t), F.concat(F.lit("\n"), last))).alias("own"),
+            F.when(is_open, F.xxhash64(F.regexp_replace(F.lower(last), r"\d+", "9"))).alias("line"), F.when(is_open, F.regexp_extract(F.lower(F.right(t, F.lit(4096))), rf"({WORD})(?:\.\.+|…)?$", 1)).alias("w"),
+            # a character, entity or tag that was cut
+            t.rlike(r"\x{FFFD}$|&[a-z]{1,6}$|&#x?[0-9a-f]{0,5}$|<[a-z/][^<>]*$").alias("code"),
+            F.transform(x["s"], lambda s: F.struct(_opening(s).alias("o"), s.rlike(END).alias("c"))).alias("segments"),
+        )
+
+    kept = [c for c in docs.columns if not c.startswith(("cut_", "__")) and c not in ("cut", text_col)]
+    return checkpointed(docs.select(*kept, F.col(source_col).alias("__source"), F.length(text_col).alias("__chars"), F.octet_length(text_col).alias("__bytes"), let(text, read).alias("__m")))
+
+
+def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """docs without the text, with cut (boolean) and cut_reason: inside_word, inside_sentence, at_limit or null."""
+    read = marked(docs, text_col, source_col)
+    kept = [c for c in read.columns if not c.startswith("__")]
+    marks = read.select(*kept, "__source", "__chars", "__bytes", *[F.col("__m")[c].alias(f"__{c}") for c in ("blank", "h", "open", "dots", "own", "line", "w", "code")], F.col("__m.last.w1").alias("__w1"), F.col("__m.last.w2").alias("__w2"), F.col("__m.last.two").alias("__two"))
+    # openings over all segments of all distinct texts
+    segments = read.where("not __m.blank").select("__m.h", "__m.segments").dropDuplicates(["h"]).select(F.inline("segments")).select("o.w1", "o.w2", F.col("c").cast("int").alias("c"))
+    openings = checkpointed(segments.groupBy("w1", "w2").agg(F.sum("c").alias("closed"), (F.count("*") - F.sum("c")).alias("open")))
     firsts = openings.groupBy("w1").agg(F.sum("closed").alias("closed1"), F.sum("open").alias("open1"))
-    # the last segment of each text
-    last = F.element_at(F.filter(_segments(F.col("__t")), lambda s: F.lit(True)), -1)
-    marks = base.withColumn("__s", F.when(F.col("__t") != "", last))
-    l1, l2 = _opening(F.col("__s"))
-    own_line = F.endswith(F.concat(F.lit("\n"), F.col("__t")), F.concat(F.lit("\n"), F.col("__s")))
-    marks = (
-        marks.withColumn("__dots", F.col("__t").rlike(r"(?:\.\.+|…)$"))
-        .withColumn("__open", (F.col("__t") != "") & (~F.col("__t").rlike(END) | F.col("__dots")))
-        .withColumn("__w1", l1)
-        .withColumn("__w2", l2)
-        .withColumn("__own", own_line)
-        .withColumn("__h", F.xxhash64("__t"))
-        .withColumn("__sh", F.xxhash64(F.regexp_replace(F.lower("__s"), r"\d+", "9")))
-        .withColumn("__w", F.when(F.col("__open"), F.regexp_extract(F.lower(F.col("__t")), rf"({WORD})(?:\.\.+|…)?$", 1)))
-        .withColumn("__chars", F.length(text_col))
-        .withColumn("__bytes", F.octet_length(text_col))
-        # a character, entity or tag that was cut; all flags are set before the joins, which then move no texts
-        .withColumn("__code", F.col("__t").rlike(r"\x{FFFD}$|&[a-z]{1,6}$|&#x?[0-9a-f]{0,5}$|<[a-z/][^<>]*$"))
-    )
     tokens = marks.where("__open and __w != ''").select(F.col("__w").alias("w")).distinct()
-    broken = cut_words(tokens, known_words(base, "__t")).select(F.col("w").alias("__bw"))
-    opened, whole = marks.where("__open"), marks.where("not coalesce(__open, false)")
-    lines = opened.select("__h", "__sh").distinct().groupBy(F.col("__sh").alias("__line")).agg(F.count("*").alias("__line_n")).where(F.col("__line_n") >= STOCK_LEAST)
+    plain = docs.select(F.rtrim(F.coalesce(F.col(text_col), F.lit(""))).alias("t"))
+    broken = cut_words(tokens, known_words(plain, "t")).select(F.col("w").alias("__bw"))
+    opened, whole = marks.where("__open"), marks.where("not __open")
+    lines = opened.select("__h", "__line").distinct().groupBy(F.col("__line").alias("__stock")).agg(F.count("*").alias("__line_n")).where(F.col("__line_n") >= STOCK_LEAST)
     # only open texts meet the opening, line and trie tables
+    pairs = openings.select(F.col("w2").alias("__w2"), "closed", "open")
     opened = (
-        opened.join(openings.select(F.col("w1").alias("__w1"), F.col("w2").alias("__w2"), "closed", "open"), ["__w1", "__w2"], "left")
+        opened.join(pairs, "__w2", "left")
         .join(firsts.select(F.col("w1").alias("__w1"), "closed1", "open1"), "__w1", "left")
-        .join(lines, F.col("__sh") == F.col("__line"), "left")
+        .join(lines, F.col("__line") == F.col("__stock"), "left")
         .join(broken, F.col("__w") == F.col("__bw"), "left")
     )
-    whole = whole.withColumns({c: F.lit(None).cast("long") for c in ("__line", "__line_n", "closed", "open", "closed1", "open1")}).withColumn("__bw", F.lit(None).cast("string"))
-    lim = limits(base.where("__t != ''"), source_col, text_col)
+    whole = whole.withColumns({c: F.lit(None).cast("long") for c in ("__stock", "__line_n", "closed", "open", "closed1", "open1")}).withColumn("__bw", F.lit(None).cast("string"))
+    lim = limits(marks.where("not __blank").select(F.col("__source").alias("source"), F.col("__h").alias("h"), F.col("__open").alias("o"), F.col("__chars").alias("chars"), F.col("__bytes").alias("bytes")))
     both = opened.unionByName(whole)
     for unit in ("chars", "bytes"):
         u = lim.where(F.col("unit") == unit).select(F.col("source").alias(f"__{unit}_s"), F.col("length").alias(f"__{unit}_l"), F.col("n").alias(f"__{unit}_n"))
-        both = both.join(u, F.col(source_col).eqNullSafe(F.col(f"__{unit}_s")) & (F.col(f"__{unit}") == F.col(f"__{unit}_l")), "left")
+        both = both.join(u, F.col("__source").eqNullSafe(F.col(f"__{unit}_s")) & (F.col(f"__{unit}") == F.col(f"__{unit}_l")), "left")
     share = lambda c, o: F.coalesce(F.col(c) / (F.col(c) + F.col(o)), F.lit(None))
-    pair_seen = (F.coalesce(F.col("closed") + F.col("open"), F.lit(0)) > 1) & (F.col("__w2") != "")
+    pair_seen = (F.coalesce(F.col("closed") + F.col("open"), F.lit(0)) > 1) & F.col("__two")
     stock = (F.col("open") >= STOCK_LEAST) & (share("closed", "open") < CLOSED_SHARE)
     usually_closed = F.when(pair_seen, share("closed", "open")).otherwise(share("closed1", "open1")) >= CLOSED_SHARE
     at_limit = F.col("__chars_n").isNotNull() | F.col("__bytes_n").isNotNull()
@@ -134,11 +141,10 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     reason = (
         F.when(at_limit, "at_limit")
         .when(plain_open & F.col("__code"), "inside_word")
-        .when(F.col("__open") & F.col("__bw").isNotNull() & ~(F.coalesce(stock, F.lit(False)) & F.col("__line").isNotNull()), "inside_word")
+        .when(F.col("__open") & F.col("__bw").isNotNull() & ~(F.coalesce(stock, F.lit(False)) & F.col("__stock").isNotNull()), "inside_word")
         .when(plain_open & ~F.col("__own") & ~F.coalesce(stock, F.lit(False)), "inside_sentence")
         .when(plain_open & F.coalesce(usually_closed, F.lit(False)), "inside_sentence")
     )
-    kept = [c for c in docs.columns if not c.startswith("cut_") and c != "cut"]
     return both.select(*kept, reason.alias("cut_reason"), reason.isNotNull().alias("cut"))
 
 
