@@ -13,6 +13,7 @@ from marquee.operators import merge, normalize, retention
 from marquee.plans import views
 from marquee.plans.views import OPENED_AT
 from marquee.session import read_table
+from marquee.streaming import ingestion
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -206,12 +207,11 @@ def merge_dedupe(spark: SparkSession, d: str) -> DataFrame:
     return merge.merge_events(views.events(spark, d)).select("id", F.size("provenance").cast("long").alias("n_provenance"))
 
 
-@query(
-    f"""WITH {EV}, p AS (SELECT canonical_identity, unnest(provenance) AS x FROM ev) SELECT canonical_identity, count(DISTINCT (x.source_record_id, x.source_url, coalesce(x.source_supplied_id, '~'), x.retrieved_at)) AS n FROM p GROUP BY 1"""
-)
+@query(f"""WITH {EV}, p AS (SELECT id, unnest(provenance) AS x FROM ev) SELECT id, count(DISTINCT (x.source_record_id, x.source_url, coalesce(x.source_supplied_id, '~'), x.retrieved_at)) AS n FROM p GROUP BY 1""")
 def provenance_union(spark: SparkSession, d: str) -> DataFrame:
-    p = views.events(spark, d).select("canonical_identity", F.explode("provenance").alias("x")).distinct()
-    return p.groupBy("canonical_identity").agg(F.count("*").alias("n"))
+    """The union of an event's provenance with the same in other order holds every entry once."""
+    e = views.events(spark, d).where(F.size("provenance") > 0)
+    return e.select("id", F.size(merge.union_provenance(F.col("provenance"), F.reverse("provenance"))).cast("long").alias("n"))
 
 
 @query(
@@ -342,4 +342,4 @@ def orphan_sources(spark: SparkSession, d: str) -> DataFrame:
 )
 def windowed_counts(spark: SparkSession, d: str) -> DataFrame:
     e = read_table(spark, d, "events").withColumn("at", F.col("ts").cast("timestamp"))
-    return e.groupBy(F.window("at", "1 hour"), "event_type").agg(F.count("*").alias("n")).select(F.col("window.start").cast("timestamp_ntz").alias("w"), "event_type", "n")
+    return ingestion.windowed_counts(e, "at", "event_type").select(F.col("window_start").cast("timestamp_ntz").alias("w"), "event_type", "n")

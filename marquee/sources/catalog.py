@@ -90,6 +90,28 @@ def canonical_lines(records: DataFrame) -> DataFrame:
     return head.unionByName(body).orderBy("position")
 
 
+def scan_canonical(files: DataFrame, file_names: dict[str, str]) -> tuple[DataFrame, DataFrame]:
+    """(records, errors) of canonical catalogs (category in the first column). A record's id is that of the catalog file
+    its category belongs to (file_names: category to file), so a catalog that was written and read keeps its ids."""
+    rows = file_rows(files.select("file_name", "body"))
+    name = F.get(F.transform(F.array(F.get("fields", F.lit(0))), lambda c: F.try_element_at(F.create_map(*[F.lit(x) for kv in file_names.items() for x in kv]), F.trim(c))), F.lit(0))
+    head = F.array(*[F.lit(h) for h in CANONICAL_HEADER])
+    rows = rows.withColumn("heading", (F.col("physical_row") == 1) & (F.col("fields") == head)).withColumn("catalog", name)
+    first = rows.where("physical_row = 1 and not heading").select("file_name", "physical_row", F.lit("header").alias("path"), F.lit("missing_header").alias("code"))
+    body = rows.where("not heading and physical_row > 1").where(F.col("code").isNotNull() | F.exists("fields", lambda f: F.trim(f) != ""))
+    shape = F.when(F.col("code").isNotNull() | (F.size("fields") != len(CANONICAL_HEADER)), F.struct(F.lit("csv").alias("path"), F.lit("invalid_csv").alias("code"))).when(F.col("catalog").isNull(), F.struct(F.lit("Category").alias("path"), F.lit("unknown_category").alias("code")))
+    cell = lambda k: F.coalesce(F.get(F.col("fields"), F.lit(k)), F.lit(""))
+    typed = body.select("file_name", "physical_row", shape.alias("shape"), "catalog", F.trim(cell(0)).alias("source_category"), F.trim(cell(1)).alias("organization_name"), urls.url_field(cell(2), True).alias("organization_urls"), urls.url_field(cell(3)).alias("sitemap_urls"), urls.url_field(cell(4)).alias("event_urls"))
+    none = F.array().cast("array<struct<path:string,code:string>>")
+    tagged = lambda c, path: F.transform(F.col(c)["errors"], lambda e: F.struct(F.lit(path).alias("path"), F.substring_index(e, ":", 1).alias("code")))
+    unnamed = F.when(F.col("organization_name") == "", F.array(F.struct(F.lit("Organization Name").alias("path"), F.lit("missing_required_field").alias("code")))).otherwise(none)
+    faults = F.when(F.col("shape").isNotNull(), F.array("shape")).otherwise(F.concat(unnamed, tagged("organization_urls", "Organization URL"), tagged("sitemap_urls", "Sitemap"), tagged("event_urls", "Event Page")))
+    errors = first.unionByName(typed.select("file_name", "physical_row", F.inline(faults)))
+    good = typed.join(errors.select("file_name").distinct(), "file_name", "left_anti")
+    sid = text.source_id(F.col("catalog"), F.col("physical_row"), F.col("organization_name"))
+    return good.select(sid.alias("id"), F.col("catalog").alias("catalog_file_name"), "physical_row", "source_category", "organization_name", "organization_urls", "sitemap_urls", "event_urls", F.lit("enabled").alias("collection_state")), errors
+
+
 def write_canonical(records: DataFrame, path: str) -> None:
     """One text file with CRLF line ends, by Spark's commit protocol. A catalog is small: one row per source."""
     canonical_lines(records).select("line").coalesce(1).write.mode("overwrite").option("lineSep", "\r\n").text(path)
