@@ -39,8 +39,9 @@ from marquee.session import checkpointed
 #: EM ends after ITERATIONS turns or once the positive mass moves by a share of SETTLED at most.
 REGION, ITERATIONS, SETTLED = 1 << 20, 8, 0.003
 #: Smoothing of word counts, weight and bound of a form's mean log odds. A feature that positives hold less than SEEN
-#: times is no evidence for them, however rare it is.
-ALPHA, TEXT_WEIGHT, TEXT_BOUND, SEEN = 0.05, 3.0, 8.0, 0.3
+#: times, or less than the share SHARE of the forms with it, is no evidence for them, however rare it is: the positives
+#: are few, so a word of any language would else look like theirs once one of them holds it.
+ALPHA, TEXT_WEIGHT, TEXT_BOUND, SEEN, SHARE = 0.05, 3.0, 8.0, 0.3, 0.07
 #: Posteriors below FAINT count as none; at most POSITIVE_LIMIT forms (16 bytes each) are broadcast.
 FAINT, POSITIVE_LIMIT = 1e-3, 200_000
 
@@ -103,7 +104,7 @@ def _odds(pos: np.ndarray, both: np.ndarray) -> np.ndarray:
         seen = both[part] > 0
         room = ALPHA * max(1, int(seen.sum()))
         odds = np.log((p + ALPHA) / (p.sum() + room)) - np.log((n + ALPHA) / (n.sum() + room))
-        out[part] = np.where(seen, np.where(p < SEEN, np.minimum(odds, 0.0), odds), 0.0)
+        out[part] = np.where(seen, np.where((p < SEEN) | (p < SHARE * both[part]), np.minimum(odds, 0.0), odds), 0.0)
     return out
 
 
@@ -175,7 +176,7 @@ def form_posteriors(df: DataFrame, id_col: str, text_cols: list[str]) -> tuple[D
         shape = {c: math.log((by_cat.get(c, 0.0) + 0.5) / (mass + 0.5 * k)) - math.log((n - by_cat.get(c, 0.0) + 0.5) / (n_forms - mass + 0.5 * k)) for c, (n, _) in totals.items()}
         prior = math.log((mass + 1) / (n_forms - mass + 1))
         if not mass:  # nothing trusted
-            return rows, pos.where("false")
+            return rows, pos.where("false").withColumn("seed", F.lit(True))
         scored = _text_scores(forms, odds).join(company, "h", "left").withColumn("c", F.least(F.coalesce("c", F.lit(0.0)), F.col("m").cast("double")))
         shape_of = F.element_at(F.create_map(*[F.lit(x) for kv in shape.items() for x in kv]), F.col("cat"))
         total = F.lit(prior) + F.col("s") + shape_of + F.col("c") * math.log(p1 / p0) + (F.col("m") - F.col("c")) * math.log((1 - p1) / (1 - p0))
