@@ -26,10 +26,10 @@ def test_scrape_run(spark, tmp_path):
     runs.publish(events, str(tmp_path / "state"), str(tmp_path / "export"))
     before = spark.read.parquet(str(tmp_path / "state"))
     assert before.count() == 1 and spark.read.text(str(tmp_path / "export")).count() == 1
-    # a second run with nothing fetched keeps the partner's events only
-    mine = before.withColumn("provenance", F.transform("provenance", lambda p: p.withField("source_url", F.lit("https://partner.example/e/1"))))
-    kept = runs.scrape_run(fetched.limit(0), sources, before.unionByName(mine.withColumn("id", F.lit("other")).withColumn("title", F.lit("Partner Night"))), "list.example", "https://partner.example/", NOW)[0]
-    assert [r.title for r in kept.collect()] == ["Partner Night"]
+    # what the partner published is told by the pages of its provenance
+    page = F.array(F.struct(F.col("u").alias("source_url")))
+    told = spark.createDataFrame([("https://partner.example/e/1",), ("https://a.example/e",), (None,)], "u string").select("u", runs.from_partner(F.when(F.col("u").isNotNull(), page), "https://partner.example/").alias("x"))
+    assert {r.u: r.x for r in told.collect()} == {"https://partner.example/e/1": True, "https://a.example/e": False, None: False}
 
 
 def test_catalogs_are_imported_whole_or_not_at_all(spark, tmp_path):
