@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from marquee.llm.names import edits, stars
-from marquee.session import checkpointed
+from marquee.session import checkpointed, large
 
 #: Words of street kinds, directions, ordinals and place prefixes with their short forms.
 STREET_KINDS = {
@@ -397,8 +397,8 @@ def candidates(form_rows: DataFrame) -> DataFrame:
     keyed = checkpointed(form_rows.select("fid", keys("number", "street", "town", "venue").alias("k")))
     # keys travel as 64-bit hashes: two keys of one hash only add a candidate
     side = lambda kind, name: keyed.select(F.col("fid").alias(name), F.explode(F.transform(f"k.{kind}", lambda x: F.xxhash64(x))).alias("h"))
-    same = side("shared", "a").join(side("shared", "b"), "h").where("a < b").select("a", "b")
-    asked = side("needed", "a").join(side("offered", "b"), "h").where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    same = side("shared", "a").join(large(side("shared", "b")), "h").where("a < b").select("a", "b")
+    asked = side("needed", "a").join(large(side("offered", "b")), "h").where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     return same.unionByName(asked).distinct()
 
 
@@ -411,7 +411,7 @@ def links(form_rows: DataFrame) -> DataFrame:
         clean = lambda f: [tuple(v if isinstance(v, str) else None for v in r) for r in f[list(FIELDS)].itertuples(index=False)]
         return pd.Series([compare(x, y) for x, y in zip(clean(fa), clean(fb), strict=True)])
 
-    pairs = candidates(form_rows).join(side("a"), "a").join(side("b"), "b").select("a", "b", vector("fa", "fb").alias("pattern"))
+    pairs = candidates(form_rows).join(large(side("a")), "a").join(large(side("b")), "b").select("a", "b", vector("fa", "fb").alias("pattern"))
     pairs = checkpointed(pairs)
     counts = {r["pattern"]: r["count"] for r in pairs.groupBy("pattern").count().collect()}
     table = [(p, float(q)) for p, q in posteriors(counts).items()]
@@ -429,9 +429,9 @@ def inherited(form_rows: DataFrame, linked: DataFrame) -> DataFrame:
     one, unless a component of theirs differs (venues may: a building can have several)."""
     both = linked.select("a", "b", "posterior").unionByName(linked.select(F.col("b").alias("a"), F.col("a").alias("b"), "posterior"))
     side = lambda x: form_rows.select(F.col("fid").alias(x), F.struct(*FIELDS).alias(f"f{x}"))
-    known = both.join(side("a"), "a").join(side("b"), "b")
+    known = both.join(large(side("a")), "a").join(large(side("b")), "b")
     anchor = known.where(_weak("fa") & ~_weak("fb")).groupBy("a").agg(F.max_by("b", F.struct("posterior", "b")).alias("anchor"), F.first("fa").alias("fa"))
-    more = both.select(F.col("a").alias("anchor"), F.col("b").alias("c")).join(anchor, "anchor").where("c != a").join(side("c"), "c")
+    more = both.select(F.col("a").alias("anchor"), F.col("b").alias("c")).join(large(anchor), "anchor").where("c != a").join(large(side("c")), "c")
 
     @F.pandas_udf(T.BooleanType())
     def agrees(fa: pd.DataFrame, fc: pd.DataFrame) -> pd.Series:
@@ -459,9 +459,9 @@ def place_classes(df: DataFrame, id_col: str, address_col: str = "address", venu
     form_rows, members, linked = _form_links(df, id_col, address_col, venue_col, city_col)
     filled = sum((F.col(f).isNotNull().cast("int") for f in FIELDS), F.lit(0))
     size = members.groupBy("fid").agg(F.count("*").alias("n"))
-    named = form_rows.join(size, "fid").select(F.lpad(F.hex("fid"), 16, "0").alias("name"), "n", filled.alias("quality"))
+    named = form_rows.join(large(size), "fid").select(F.lpad(F.hex("fid"), 16, "0").alias("name"), "n", filled.alias("quality"))
     edges = linked.select(F.lpad(F.hex("a"), 16, "0").alias("a"), F.lpad(F.hex("b"), 16, "0").alias("b"), F.col("posterior").alias("sim"))
-    return members.select(F.col("rid").alias(id_col), F.lpad(F.hex("fid"), 16, "0").alias("name")).join(stars(named, edges), "name").select(id_col, F.col("centre").alias("place"))
+    return members.select(F.col("rid").alias(id_col), F.lpad(F.hex("fid"), 16, "0").alias("name")).join(large(stars(named, edges)), "name").select(id_col, F.col("centre").alias("place"))
 
 
 def same_place(df: DataFrame, id_col: str, address_col: str = "address", venue_col: str = "venue", city_col: str = "city") -> DataFrame:
@@ -470,6 +470,6 @@ def same_place(df: DataFrame, id_col: str, address_col: str = "address", venue_c
     form_rows, members, linked = _form_links(df, id_col, address_col, venue_col, city_col)
     within = form_rows.select(F.col("fid").alias("a"), F.col("fid").alias("b"))
     ma, mb = members.select(F.col("fid").alias("a"), F.col("rid").alias("x")), members.select(F.col("fid").alias("b"), F.col("rid").alias("y"))
-    pairs = within.unionByName(linked.select("a", "b")).join(ma, "a").join(mb, "b").where((F.col("a") != F.col("b")) | (F.col("x") < F.col("y")))
+    pairs = within.unionByName(linked.select("a", "b")).join(large(ma), "a").join(large(mb), "b").where((F.col("a") != F.col("b")) | (F.col("x") < F.col("y")))
     # a record has one form, so no pair comes twice
     return pairs.select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))

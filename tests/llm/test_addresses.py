@@ -3,6 +3,7 @@ import itertools
 import pytest
 
 from marquee.llm import addresses as ad
+from marquee.session import checkpointed
 
 
 @pytest.mark.parametrize(
@@ -62,3 +63,13 @@ def test_blocks_hold_all_near_pairs(spark):
     got = {tuple(r) for r in ad.candidates(df).collect()}
     near = {(i, j) for i, j in itertools.combinations(range(len(forms)), 2) if ad.compare(forms[i], forms[j])[0] == "0" and ad.compare(forms[i], forms[j])[1] in "01"}
     assert near <= got
+
+
+def test_growing_sides_are_not_broadcast(spark):
+    """Spark takes these sides for small at any size; none may pass through the driver."""
+    df = spark.createDataFrame(ROWS, "hint_id long, address map<string,string>, venue string, city string")
+    rows = checkpointed(ad.forms(ad.parsed(df, "hint_id", "address", "venue", "city"))[0])
+    linked = spark.createDataFrame([(1, 2, 0.9)], "a long, b long, posterior double")
+    for found in (ad.candidates(rows), ad.inherited(rows, linked), ad.same_place(df, "hint_id"), ad.place_classes(df, "hint_id")):
+        found.collect()
+        assert "BroadcastHashJoin" not in found._jdf.queryExecution().executedPlan().toString()
