@@ -1,12 +1,11 @@
 """Several values packed in one field: one row per value, position kept.
 
 Every text is parsed under dialects (a set of delimiters, quotes honoured). A parse costs the code lengths of its
-values plus the dialect's own description; the shortest total wins. Value codes come from the whole column, gathered
-in one distributed pass over the texts that hold no delimiter at all (they need no dialect): a counting sketch of whole
-values and a character-bigram table. The sketch grows with the number of distinct values up to ``ROWS`` x ``WIDEST``
-counters; what a full one cannot tell from its noise is rarer than 1 in WIDEST and counts as unknown. The table has at
-most 97 x 97 pairs. A closed vocabulary (category ids and names) may be given too; up to ``MAX_VOCABULARY`` rows travel
-as they are (their number is checked), a larger one goes into the sketch.
+values plus the dialect's own description; the shortest total wins. Value codes come from the whole column, from the
+texts that hold no delimiter at all (they need no dialect): exact counts of whole values and a character-bigram table of
+at most 97 x 97 pairs. A vocabulary (category ids and names) may be given too. Counts and vocabulary stay a distributed
+table of any size: the pieces of each distinct text are looked up in it by a join, and the parser gets what was found.
+A bitmap of ``SIEVE`` bits spares the join most pieces that the table lacks; a full one only lets more of them through.
 
 Inside a dialect the delimiters' occurrences that separate values are chosen by dynamic programming, so a delimiter
 inside a URL or a known name splits nothing.
@@ -19,19 +18,21 @@ texts and values of any length are parsed whole.
 
 from __future__ import annotations
 
-import hashlib
 import math
 import re
+import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-ROWS, NARROWEST, WIDEST = 4, 1 << 14, 1 << 18
-MAX_VOCABULARY = 10_000
+from marquee.session import checkpointed, large
+
+SIEVE = 1 << 22
 ESCAPE_BITS, CHAR_BITS, KNOWN_BITS, NUMBER_BITS, URL_BITS = 40.0, 8.0, 1.0, 14.0, 6.0
 QUOTE_BITS, USE_BITS, TYPE_BITS, EMPTY_BITS = 2.0, 1.0, 5.0, 3.0
 
@@ -61,28 +62,48 @@ def char_class(c: str) -> str:
 
 @dataclass
 class ValueCodes:
-    """Code lengths in bits of single values; built by ``learn_codes``."""
+    """Code lengths in bits of single values. ``learn_codes`` leaves counts and vocabulary in ``table``; ``holding``
+    takes over what was looked up there."""
 
     kind: str
     vocabulary: frozenset[str] = frozenset()
-    sketch: dict[int, int] = field(default_factory=dict)
+    counts: dict[str, int] = field(default_factory=dict)
     total: int = 0
     bigrams: dict[str, float] = field(default_factory=dict)
     unseen_bits: float = 7.0
-    width: int = NARROWEST
+    #: The number of words in the whole vocabulary.
+    words: int = 0
     #: The longest value that has a code of its own.
     longest: int = 0
+    #: (v, n): every value with a code of its own and its count, 0 for words of the vocabulary.
+    table: DataFrame | None = field(default=None, repr=False, compare=False)
+    sieve: bytes = field(default=b"", repr=False, compare=False)
     _memo: dict[str, float] = field(default_factory=dict, repr=False, compare=False)
 
     def __post_init__(self) -> None:
+        self.words = self.words or len(self.vocabulary)
         self.longest = max([self.longest, *map(len, self.vocabulary)])
 
+    def holding(self, found: dict[str, int]) -> ValueCodes:
+        """These codes with the rows of the table that one text needs."""
+        return replace(self, vocabulary=frozenset(v for v, n in found.items() if not n), counts={v: n for v, n in found.items() if n}, table=None)
+
+    def may_hold(self, value: str) -> bool:
+        """False only for values that the table lacks."""
+        h = zlib.crc32(value.encode()) % SIEVE
+        return bool(self.sieve and self.sieve[h >> 3] >> (h & 7) & 1)
+
     def bits(self, value: str) -> float:
+        if self.table is not None:
+            return self.holding({r["v"]: r["n"] for r in self.table.where(F.col("v") == value).collect()}).bits(value)
         if value not in self._memo:
             if len(self._memo) > 200_000:
                 self._memo.clear()
-            self._memo[value] = self._bits(value)
-        return self._memo[value]
+            self._memo[value] = self._spelled(value)
+        best, seen = self._memo[value], self.counts.get(value, 0)
+        if value in self.vocabulary:
+            return min(best, KNOWN_BITS + math.log2(self.words))
+        return min(best, 2 + math.log2(self.total / seen)) if seen >= 2 else best
 
     def coded_beyond(self, text: str, start: int, at: int, between: str) -> bool:
         """A value that starts at start may have a code though it runs on from at over the delimiter between."""
@@ -92,29 +113,17 @@ class ValueCodes:
             return True
         return at - start < self.longest + 2
 
-    def _bits(self, value: str) -> float:
-        if value in self.vocabulary:
-            return KNOWN_BITS + math.log2(len(self.vocabulary))
+    def _spelled(self, value: str) -> float:
+        """The bits of a value by its characters alone."""
         best = ESCAPE_BITS + CHAR_BITS * len(value)
         if self.kind == "category" and _NUMBER.fullmatch(value):
             best = min(best, NUMBER_BITS)
         if self.kind == "url" and URL.fullmatch(value):
             text = "^" + value + "$"
             best = min(best, URL_BITS + sum(self.bigrams.get(a + b, self.unseen_bits) for a, b in zip(map(char_class, text), map(char_class, text[1:]), strict=False)))
-        if self.total:
-            noise = self.total / self.width
-            seen = min(self.sketch.get(b, 0) for b in buckets(value, self.width)) - noise
-            if seen >= max(2.0, 3 * math.sqrt(noise)):
-                best = min(best, 2 + math.log2(self.total / seen))
         return best
 
 
-def buckets(value: str, width: int = NARROWEST) -> list[int]:
-    """The counters of a value: ROWS independent slices of its MD5, as ``learn_codes`` takes them in Spark."""
-    digest = hashlib.md5(value.encode(), usedforsecurity=False).hexdigest()
-    return [r * width + int(digest[6 * r : 6 * r + 6], 16) % width for r in range(ROWS)]
-
-
 def delimiters_of(kind: str) -> dict[str, str]:
     """A URL may hold any number of slashes and pluses; they never part URLs."""
     return {k: v for k, v in DELIMITERS.items() if kind != "url" or k not in ("slash", "plus")}
@@ -221,27 +230,44 @@ def parse_packed(text: str, codes: ValueCodes) -> list[str]:
             return tried[min(tried, key=lambda k: (tried[k][0], len(k), k))][1]
 
 
+def pieces(text: str, codes: ValueCodes) -> list[str]:
+    """The values that a parse of text may ask for and the table may hold. No two delimiters overlap, so the pieces of
+    every dialect lie between boundaries of all delimiters."""
+    text = text.strip()
+    cuts = _boundaries(text, tuple(delimiters_of(codes.kind)))
+    starts = [0] + [b[1] for b in cuts]
+    ends = [b[0] for b in cuts] + [len(text)]
+    out: dict[str, None] = {}
+    for i, start in enumerate(starts if cuts else []):
+        for end in ends[i:]:
+            raw = text[start:end].strip()
+            value = _unquoted(raw)[0]
+            if value and len(value) <= codes.longest and value not in out and codes.may_hold(value):
+                out[value] = None
+            if len(raw) > codes.longest + 2 and (text[start] not in "\"'" or text.find(text[start], start + 1, end) >= 0):
+                break
+    return list(out)
+
+
 def learn_codes(texts: DataFrame, text: Column, kind: str, vocabulary: DataFrame | None = None) -> ValueCodes:
-    """Counts whole values and bigrams of the delimiter-free texts. Two small aggregates of fixed size reach the
-    driver: at most ROWS x WIDEST counters and 97 x 97 pairs."""
-    words: frozenset[str] = frozenset()
+    """Counts whole values and bigrams of the delimiter-free texts. The values stay a table; a few totals, the bitmap's
+    words and 97 x 97 pairs at most reach the driver."""
     pattern = "|".join(f"(?:{p})" for n, p in delimiters_of(kind).items() if kind != "url" or n not in ("ampersand", "comma", "semicolon"))
     atomic = texts.select(F.trim(text).alias("v")).where((F.col("v") != "") & ~F.col("v").rlike(pattern))
-    counted = atomic
+    counted = atomic.groupBy("v").agg(F.count("*").alias("n"))
     if vocabulary is not None:
-        rows = vocabulary.limit(MAX_VOCABULARY + 1).collect()
-        if len(rows) > MAX_VOCABULARY:  # counted often enough to be known
-            named = vocabulary.select(F.explode(F.array(*[F.col(c).cast("string") for c in vocabulary.columns])).alias("v")).where("v is not null")
-            counted = atomic.unionByName(named.select(F.explode(F.array_repeat("v", 4)).alias("v")))
-        else:
-            words = frozenset(str(v) for r in rows for v in r if v)
-    size = counted.agg(F.approx_count_distinct("v").alias("n"), F.max(F.length("v")).alias("longest")).first()
-    width = NARROWEST
-    while width < min(WIDEST, 4 * size["n"]):
-        width *= 2
-    slices = [F.conv(F.substring(F.md5("v"), 6 * r + 1, 6), 16, 10).cast("int") % width + r * width for r in range(ROWS)]
-    sketch = {r["b"]: r["n"] for r in counted.select(F.explode(F.array(*slices)).alias("b")).groupBy("b").agg(F.count("*").alias("n")).collect()}
-    codes = ValueCodes(kind, words, sketch, sum(sketch.values()) // ROWS, width=width, longest=size["longest"] or 0)
+        named = vocabulary.select(F.explode(F.array(*[F.col(c).cast("string") for c in vocabulary.columns])).alias("v")).where("v != ''")
+        counted = counted.unionByName(named.select("v", F.lit(0).cast("long").alias("n")))
+    # a word of the vocabulary has n = 0, whatever its uses
+    values = checkpointed(counted.groupBy("v").agg(F.min("n").alias("n"), F.sum("n").alias("uses")))
+    size = values.agg(F.sum("uses").alias("total"), F.max(F.length("v")).alias("longest"), F.count_if(F.col("n") == 0).alias("words")).first()
+    table = values.where("n != 1").select("v", "n")
+    h = F.crc32(F.col("v").cast("binary")) % SIEVE
+    marks = table.select(h.alias("h")).groupBy(F.expr("cast(h div 64 as int)").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(h % 64 as int)))").alias("m")).collect()
+    sieve = np.zeros(SIEVE // 64, dtype="<i8")
+    for r in marks:
+        sieve[r["w"]] = r["m"]
+    codes = ValueCodes(kind, total=size["total"] or 0, words=size["words"], longest=size["longest"] or 0, table=table, sieve=sieve.tobytes())
     if kind == "url":
         # [^ -~] is the one class of all other characters
         framed = F.concat(F.lit("^"), F.regexp_replace("v", "[^ -~]", "?"), F.lit("$"))
@@ -262,28 +288,31 @@ def learn_codes(texts: DataFrame, text: Column, kind: str, vocabulary: DataFrame
 
 
 def split_packed(df: DataFrame, text_col: str, codes: ValueCodes) -> DataFrame:
-    """df with pos and item instead of one row per text."""
+    """df with pos and item instead of one row per text. Every distinct text is looked up and parsed once."""
+    slim = replace(codes, table=None)
+
+    @F.pandas_udf(T.ArrayType(T.StringType()))
+    def asked(s: pd.Series) -> pd.Series:
+        return pd.Series([pieces(v, slim) for v in s], index=s.index)
 
     @F.pandas_udf(T.ArrayType(T.StringType()))
-    def values(it: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        cache: dict[str, list[str]] = {}
-        for s in it:
-            if len(cache) > 50_000:
-                cache.clear()
-            out = []
-            for v in s:
-                if not isinstance(v, str):
-                    out.append([])
-                    continue
-                if v not in cache:
-                    cache[v] = parse_packed(v, codes)
-                out.append(cache[v])
-            yield pd.Series(out, index=s.index)
+    def values(it: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for text, known, uses in it:
+            found = [slim if v is None else slim.holding(dict(zip(v, map(int, n), strict=True))) for v, n in zip(known, uses, strict=True)]
+            yield pd.Series([parse_packed(t, c) for t, c in zip(text, found, strict=True)], index=text.index)
 
     kept = [c for c in df.columns if c not in ("pos", "item")]
+    rows = df.select(*kept, F.col(text_col).alias("__text"))
     # parsing is all work and few bytes: partitions by size would leave it to a task or two
-    spread = df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    parsed = spread.withColumn("__values", values(F.col(text_col))).select(*kept, "__values")
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    texts = rows.where("__text is not null").select("__text").distinct()
+    if codes.table is None:
+        held = texts.withColumn("__known", F.lit(None).cast("array<struct<v:string,n:bigint>>"))
+    else:
+        hits = texts.repartition(tasks).select("__text", F.explode(asked("__text")).alias("v")).join(large(codes.table), "v")
+        held = texts.join(large(hits.groupBy("__text").agg(F.collect_list(F.struct("v", "n")).alias("__known"))), "__text", "left")
+    parsed = held.repartition(tasks).select("__text", values("__text", "__known.v", "__known.n").alias("__values"))
+    parsed = rows.join(large(parsed.where(F.size("__values") > 0)), "__text")
     if "n_values" in kept:
         return parsed.select(*kept, F.posexplode("__values").alias("pos", "item"))
     return parsed.select(*kept, F.size("__values").alias("n_values"), F.posexplode("__values").alias("pos", "item"))

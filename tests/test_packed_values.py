@@ -1,3 +1,5 @@
+import math
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -54,3 +56,15 @@ def test_long_values_and_large_vocabularies(spark):
     names = spark.range(10_500).selectExpr("cast(id as string) as k", "concat('Arts, Crafts ', id) as v")
     learned = learn_codes(spark.createDataFrame([("Jazz",), (None,), ("",)], "v string"), F.col("v"), "category", names)
     assert not learned.vocabulary and learned.bits("Arts, Crafts 77") < 40 and learned.bits("Arts, Crafts x") > 100
+
+
+@pytest.mark.parametrize("n", [50, 10_500])
+def test_codes_do_not_turn_on_the_size(spark, n):
+    """A known name costs the same by one method however many names and uses there are."""
+    names = spark.range(n).selectExpr("cast(id as string) as k", "concat('Arts, Crafts ', id) as v")
+    packed = spark.createDataFrame([("a", "Arts, Crafts 7, Jazz, 3"), ("b", "'Arts, Crafts 8' Jazz"), ("b", "Jazz")], "id string, t string")
+    df = packed.unionByName(spark.range(20_000 * (n > 50) + 3).selectExpr("'c' as id", "'Jazz' as t"))
+    codes = learn_codes(df, F.col("t"), "category", names)
+    assert codes.bits("Arts, Crafts 7") == 1 + math.log2(2 * n) and codes.bits("Arts, Crafts x") > 100
+    got = sorted((r.id, r.pos, r.item) for r in split_packed(df.where("id != 'c'"), "t", codes).collect())
+    assert got == [("a", 0, "Arts, Crafts 7"), ("a", 1, "Jazz"), ("a", 2, "3"), ("b", 0, "Arts, Crafts 8"), ("b", 0, "Jazz"), ("b", 1, "Jazz")]
